@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import group_splits
+from corvane.llm import format_duplicates, group_splits
 
-_MODULES = (group_splits,)
+_MODULES = (group_splits, format_duplicates)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
