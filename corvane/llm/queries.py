@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import format_duplicates, group_splits
+from corvane.llm import format_duplicates, group_splits, split_overlap
 
-_MODULES = (group_splits, format_duplicates)
+_MODULES = (group_splits, format_duplicates, split_overlap)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
