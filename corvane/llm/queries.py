@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import format_duplicates, group_splits, split_overlap
+from corvane.llm import format_duplicates, group_splits, split_overlap, vector_neighbours
 
-_MODULES = (group_splits, format_duplicates, split_overlap)
+_MODULES = (group_splits, format_duplicates, split_overlap, vector_neighbours)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
