@@ -53,46 +53,39 @@ def term_counts(texts: DataFrame, size: int, counters: int = COUNTERS) -> np.nda
     return out
 
 
-_SIGNATURE = "key long, set_a long, set_b long, n int, top float, terms array<struct<h: long, w: float, rest: float>>"
+def signatures(texts: DataFrame, counts: np.ndarray, size: int, cosine: float) -> DataFrame:
+    """To every row of ``texts(text, ...)`` a hash of its term set, the set's size, and the terms that must be indexed.
 
-
-def signatures(texts: DataFrame, counts: np.ndarray, n_texts: int, size: int, cosine: float, idf: bool) -> DataFrame:
-    """Per text of ``texts(key, text)``: a hash of its term set, and the part of its unit vector that must be indexed.
-
-    Terms go from rare to frequent; those kept are the least prefix after which the rest of the
-    vector has a norm under ``cosine``: two vectors that reach ``cosine`` share a kept term. Each
-    carries its weight and the norm of what follows it; ``top`` is the vector's greatest weight.
+    Terms go from rare to frequent. A text's vector gives each of its n terms the weight 1/sqrt(n);
+    the terms kept are the least prefix after which the rest of the vector has a norm under
+    ``cosine``: two vectors that reach ``cosine`` share a kept term. ``text`` itself goes.
     """
     shared = texts.sparkSession.sparkContext.broadcast(counts)  # 4 * COUNTERS bytes
     shift = np.uint64(64 - (len(counts).bit_length() - 1))
+    rest = [c for c in texts.columns if c != "text"]
+    kinds = {f.name: f.dataType.simpleString() for f in texts.schema}
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "set_a long", "set_b long", "n int", "terms array<long>"])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, start = shingle_sets(b.column(1).to_pylist(), size)
-            size_of = np.diff(start)
-            owner = np.repeat(np.arange(len(size_of)), size_of)
-            count = shared.value[(h >> shift).astype(np.int64)]
-            w = np.log(1 + n_texts / np.maximum(count, 1)) if idf else np.ones(len(h))
-            norm = np.sqrt(np.bincount(owner, w * w, minlength=len(size_of)))
-            w = w / np.maximum(norm[owner], 1e-300)
-            order = np.lexsort((h, count, owner))
-            h, w = h[order], w[order]
-            total = np.concatenate([[0], np.cumsum(w * w)])
-            rest = np.sqrt(np.maximum(total[start[owner + 1]] - total[1:], 0))  # norm of what follows
-            before = np.sqrt(np.maximum(total[start[owner + 1]] - total[:-1], 0))
-            kept = before >= cosine - _EPS
-            top = np.zeros(len(size_of))
-            np.maximum.at(top, owner, w)
+            if not b.num_rows:
+                continue
+            h, start = shingle_sets(b.column("text").to_pylist(), size)
+            n = np.diff(start)
+            owner = np.repeat(np.arange(len(n)), n)
             hashes = []
             for k in (1, 2):
                 m = mix(h * np.uint64(2 * k + 1) + np.uint64(k))
                 c = np.concatenate([np.zeros(1, np.uint64), np.cumsum(m, dtype=np.uint64)])
                 hashes.append((c[start[1:]] - c[start[:-1]]).view(np.int64))
-            ends = np.concatenate([[0], np.cumsum(np.bincount(owner[kept], minlength=len(size_of)))]).astype(np.int32)
-            terms = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(h[kept].view(np.int64)), pa.array(w[kept].astype(np.float32)), pa.array(rest[kept].astype(np.float32))], ["h", "w", "rest"]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes[0]), pa.array(hashes[1]), pa.array(size_of.astype(np.int32)), pa.array(top.astype(np.float32)), terms], ["key", "set_a", "set_b", "n", "top", "terms"])
+            h = h[np.lexsort((h, shared.value[(h >> shift).astype(np.int64)], owner))]
+            before = np.sqrt((start[owner + 1] - np.arange(len(h))) / np.maximum(n[owner], 1))  # norm from this term on
+            kept = before >= cosine - _EPS
+            ends = np.concatenate([[0], np.cumsum(np.bincount(owner[kept], minlength=len(n)))]).astype(np.int32)
+            terms = pa.ListArray.from_arrays(pa.array(ends), pa.array(h[kept].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(hashes[0]), pa.array(hashes[1]), pa.array(n.astype(np.int32)), terms], [*rest, "set_a", "set_b", "n", "terms"])
 
-    return texts.select("key", "text").mapInArrow(sign, _SIGNATURE)
+    return texts.mapInArrow(sign, schema)
 
 
 def _similarity(size: int):
@@ -111,63 +104,67 @@ def _similarity(size: int):
     return similarity
 
 
-def split_overlap(texts: DataFrame, jaccard: float = 0.8, size: int = 3, train: str = "train", held_out: tuple[str, ...] = ("validation", "test")) -> tuple[DataFrame, DataFrame]:
+#: Up to so many candidate texts (8 bytes each) their keys are broadcast to fetch the texts; beyond it both sides are shuffled.
+BROADCAST_KEYS = 2_000_000
+
+
+def split_overlap(texts: DataFrame, splits: DataFrame, jaccard: float = 0.8, size: int = 3, train: str = "train", held_out: tuple[str, ...] = ("validation", "test")) -> tuple[DataFrame, DataFrame]:
     """Texts of held-out splits that the training split has too, wholly or almost.
 
-    ``texts(key, text, split)`` gives ``(links, members)``. ``members(key, side, set_a, set_b, form)``
-    names each text's class of equal term sets and of equal letters and digits; ``links(set_a, set_b,
-    train_a, train_b, jaccard, cosine)`` joins classes of term sets, held-out side first, whose sets of
-    runs of ``size`` words reach ``jaccard``. Equal sets link with similarity 1. Texts equal in form share
-    ``form``. A pair of copies needs no row of its own: it follows from both classes.
-
-    The join is by cosine of unit vectors with equal weights, for which Jaccard ``j`` implies a cosine
-    of at least ``2j / (1 + j)``; candidates share an indexed term, pass the greatest-weight bound
-    (``min(n) * top * top``) and the residual-norm bound (``w * w + rest * rest``) at the first term they
-    share, and are then computed exactly on whole texts. Null texts, splits that are neither, and texts
-    without a word take part in no link (the last may still be equal in form); repeated rows of a key
-    count once; an empty table gives empty results; other columns are ignored.
+    ``texts(key, record, text)`` and ``splits(record, split)``, one row a record, give ``(links,
+    members)``. ``members(key, side, set_a, set_b, form)`` names each text's class of equal term sets
+    and of equal letters and digits; ``links(set_a, set_b, train_a, train_b, jaccard, cosine)`` joins
+    classes of term sets, held-out side first, whose sets of runs of ``size`` words reach ``jaccard``.
+    Equal sets link with similarity 1. Texts equal in form share ``form``. A pair of copies needs no
+    row of its own: it follows from both classes.
+
+    The join is by cosine of unit vectors. Their terms weigh the same, as only then a Jaccard of
+    ``j`` implies a cosine, of at least ``2j / (1 + j)``. Candidates share an indexed term, pass the
+    greatest-weight bound and, at the term they share, the residual-norm bound, and are then computed
+    exactly on whole texts. Null texts, records without a split, and splits that are neither take no
+    part; a text without a word links to none (but may be equal in form); repeated rows of a key count
+    once; an empty table gives empty results; other columns are ignored.
     """
     cosine = 2 * jaccard / (1 + jaccard)
-    side = F.when(F.col("split") == train, "t").when(F.col("split").isin(*held_out), "e")
-    rows = texts.filter("text IS NOT NULL").select("key", "text", side.alias("side"))
+    rows = texts.filter("text IS NOT NULL AND key IS NOT NULL").select("key", "record", "text")
     counts = term_counts(rows.select("text"), size)
-    plain = texts.filter("text IS NOT NULL").select("key", "text")
-    signs = signatures(plain, counts, 1, size, cosine, idf=False)
-    return _linked(rows, signs, jaccard, cosine, size)
-
-
-def _linked(rows: DataFrame, signs: DataFrame, jaccard: float, cosine: float, size: int) -> tuple[DataFrame, DataFrame]:
-    forms = rows.filter("side IS NOT NULL").select("key", "side", F.unhex(F.sha2(canonical_text(F.col("text")), 256)).alias("form"))
-    members = cut(signs.join(forms, "key").dropDuplicates(["key", "side"]))
-    classes = members.filter("n > 0").groupBy("set_a", "set_b", "side").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("top").alias("top"), F.first("terms").alias("terms"))
-    lists = cut(classes.select("set_a", "set_b", "side", "key", "n", "top", F.explode("terms").alias("x")).select("set_a", "set_b", "side", "key", "n", "top", "x.*"))
+    form = F.substring(F.unhex(F.sha2(canonical_text(F.col("text")), 256)), 1, 16)
+    side = F.when(F.col("split") == train, "t").when(F.col("split").isin(*held_out), "e").alias("side")
+    sides = splits.select("record", side).filter("side IS NOT NULL")
+    signed = signatures(rows.withColumn("form", form), counts, size, cosine).join(sides, "record").drop("record")
+    members = cut(signed)
+    classes = members.filter("n > 0").groupBy("set_a", "set_b", "side").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("terms").alias("terms"))
+    lists = classes.select("side", "key", "n", F.posexplode("terms").alias("at", "h"))
 
     def of(s: str) -> DataFrame:
-        return lists.filter(F.col("side") == s).drop("side").select("h", *(F.col(c).alias(f"{s}_{c}") for c in ("set_a", "set_b", "key", "n", "top", "w", "rest")))
+        return lists.filter(F.col("side") == s).select("h", *(F.col(c).alias(f"{s}_{c}") for c in ("key", "n", "at")))
 
-    reach = (F.least("e_n", "t_n") * F.col("e_top") * F.col("t_top") >= cosine - 1e-5) & (F.col("e_w") * F.col("t_w") + F.col("e_rest") * F.col("t_rest") >= cosine - 1e-5)
-    other = (F.col("e_set_a") != F.col("t_set_a")) | (F.col("e_set_b") != F.col("t_set_b"))
-    found = cut(of("e").join(of("t"), "h").filter(reach & other).select("e_key", "t_key", "e_set_a", "e_set_b", "t_set_a", "t_set_b").distinct())
+    # with w = 1/sqrt(n): min(n) * w * w, and w * w + the product of the norms after the shared term
+    scale = F.sqrt(F.col("e_n").cast("double") * F.col("t_n"))
+    bound = F.least(F.least("e_n", "t_n").cast("double"), 1 + F.sqrt((F.col("e_n") - F.col("e_at") - 1).cast("double") * (F.col("t_n") - F.col("t_at") - 1)))
+    found = cut(of("e").join(of("t"), "h").filter(bound >= (cosine - _EPS) * scale).select("e_key", "t_key").distinct())
     wanted = found.select(F.col("e_key").alias("key")).unionByName(found.select(F.col("t_key").alias("key"))).distinct()
+    if found.count() <= BROADCAST_KEYS // 2:
+        wanted = F.broadcast(wanted)
     bodies = cut(rows.select("key", "text").join(wanted, "key").dropDuplicates(["key"]))
     pairs = found.join(bodies.select(F.col("key").alias("e_key"), F.col("text").alias("e_text")), "e_key").join(bodies.select(F.col("key").alias("t_key"), F.col("text").alias("t_text")), "t_key")
-    near = pairs.withColumn("s", _similarity(size)("e_text", "t_text")).filter(F.col("s.jaccard") >= jaccard - 1e-12)
-    near = near.select(F.col("e_set_a").alias("set_a"), F.col("e_set_b").alias("set_b"), F.col("t_set_a").alias("train_a"), F.col("t_set_b").alias("train_b"), "s.jaccard", "s.cosine")
-    sets = members.filter("n > 0").select("set_a", "set_b", "side")
-    equal = sets.groupBy("set_a", "set_b").agg(F.count_distinct("side").alias("sides")).filter("sides = 2")
-    equal = equal.select("set_a", "set_b", F.col("set_a").alias("train_a"), F.col("set_b").alias("train_b"), F.lit(1.0).alias("jaccard"), F.lit(1.0).alias("cosine"))
-    return near.unionByName(equal), members.select("key", "side", "set_a", "set_b", "form")
+    near = pairs.withColumn("s", _similarity(size)("e_text", "t_text")).filter(F.col("s.jaccard") >= jaccard - 1e-12).select("e_key", "t_key", "s.jaccard", "s.cosine")
+    sets = members.select("key", "side", "set_a", "set_b")
+    ends = near.join(sets.filter("side = 'e'").select(F.col("key").alias("e_key"), "set_a", "set_b"), "e_key")
+    ends = ends.join(sets.filter("side = 't'").select(F.col("key").alias("t_key"), F.col("set_a").alias("train_a"), F.col("set_b").alias("train_b")), "t_key")
+    links = ends.select("set_a", "set_b", "train_a", "train_b", "jaccard", "cosine").distinct()
+    return links, members.select("key", "side", "set_a", "set_b", "form")
 
 
-def _texts(spark: SparkSession, d: str) -> DataFrame:
+def _texts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     er, tx = table(spark, d, "embedding_records"), table(spark, d, "embedding_texts")
-    split = er.groupBy("record_id").agg(F.max_by("split", "ingested_at").alias("split"), F.max_by("source_name", "ingested_at").alias("source_name"))
-    return tx.select(F.col("text_key").alias("key"), "record_id", "text").join(split, "record_id")
+    splits = er.groupBy(F.col("record_id").alias("record")).agg(F.max_by("split", "ingested_at").alias("split"), F.max_by("source_name", "ingested_at").alias("source_name"))
+    return tx.select(F.col("text_key").alias("key"), F.col("record_id").alias("record"), "text"), splits
 
 
-def _pairs(texts: DataFrame) -> DataFrame:
+def _pairs(texts: DataFrame, splits: DataFrame) -> DataFrame:
     """Every pair (held-out key, training key) that links and classes stand for."""
-    links, members = split_overlap(texts)
+    links, members = split_overlap(texts, splits)
     e = members.filter("side = 'e'").select(F.col("key").alias("e_key"), "set_a", "set_b", "form")
     t = members.filter("side = 't'").select(F.col("key").alias("t_key"), F.col("set_a").alias("train_a"), F.col("set_b").alias("train_b"), "form")
     near = links.join(e.drop("form"), ["set_a", "set_b"]).join(t.drop("form"), ["train_a", "train_b"]).select("e_key", "t_key")
@@ -177,13 +174,13 @@ def _pairs(texts: DataFrame) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of texts across splits that are the same or almost."""
-    p = _pairs(_texts(spark, d))
+    p = _pairs(*_texts(spark, d))
     return p.select(F.least("e_key", "t_key").alias("key_a"), F.greatest("e_key", "t_key").alias("key_b"))
 
 
 def p4_overlaps(spark: SparkSession, d: str) -> DataFrame:
     """Held-out texts that the training split has too, per split and source."""
-    texts = _texts(spark, d)
-    hit = _pairs(texts).groupBy(F.col("e_key").alias("key")).agg(F.count(F.lit(1)).alias("partners"))
-    per = texts.join(hit, "key", "left").filter("split IN ('validation', 'test')")
+    texts, splits = _texts(spark, d)
+    hit = _pairs(texts, splits).groupBy(F.col("e_key").alias("key")).agg(F.count(F.lit(1)).alias("partners"))
+    per = texts.select("key", "record").join(splits, "record").join(hit, "key", "left").filter("split IN ('validation', 'test')")
     return per.groupBy("split", "source_name").agg(F.count(F.lit(1)).alias("texts"), F.count("partners").alias("overlapping"), F.coalesce(F.sum("partners"), F.lit(0)).alias("pairs"))
