@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import format_duplicates, group_splits, language, split_overlap, vector_neighbours
+from corvane.llm import format_duplicates, group_splits, language, personal_data, split_overlap, vector_neighbours
 
-_MODULES = (group_splits, format_duplicates, split_overlap, vector_neighbours, language)
+_MODULES = (group_splits, format_duplicates, split_overlap, vector_neighbours, language, personal_data)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
