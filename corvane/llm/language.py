@@ -31,7 +31,7 @@ NOT_KNOWN = ("", "und", "unknown")
 
 # What is no running text: code fences, inline code, markup, URLs, table and JSON lines, speaker names.
 _APART = re.compile(
-    r"```[^\0]*?(?:```|(?=\0))|`[^`\n\0]*`|</?[A-Za-z][^<>\n\0]{0,200}>|&[a-z]{2,8};|https?://\S+|^[ \t]*[|{}\[][^\n\0]*|^[ \t]*(?:<p>)?(?:[-*>] )?(?:user|assistant|system|tool): ",
+    r"```[^\0]*?(?:```|(?=\0))|`[^`\n\0]*`|</?[A-Za-z][^<>\n\0]{0,200}>|&[a-z]{2,8};|https?://[^\s\0]+|^[ \t]*[|{}\[][^\n\0]*|^[ \t]*(?:<p>)?(?:[-*>] )?(?:user|assistant|system|tool): ",
     re.M,
 )
 

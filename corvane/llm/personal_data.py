@@ -296,6 +296,10 @@ def _exact(kind: str, text: str, a: int, b: int) -> list[tuple[int, int]]:
                 out.append((a + m.start(), a + m.end()))
         return out
     if kind == "id_number":
+        while a and (text[a - 1].isalnum() or (text[a - 1] in "-./" and a > 1 and text[a - 2].isalnum())):
+            a -= 1
+        b += re.match(r"(?:[-./]?[^\W_]+)*", text[b:]).end() if text[b - 1 : b].isalnum() else 0
+        s = text[a:b]
         m = re.search(r"\w(?:.*\w)?(?:-\w)?", s, re.S)
         return [(a + m.start(), a + m.end())] if m and sum(c.isdigit() for c in s) >= 5 else []
     if kind == "address":
