@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import answer_defects, format_duplicates, group_splits, language, personal_data, split_overlap, vector_neighbours
+from corvane.llm import answer_defects, format_duplicates, group_splits, language, mixing, packing, personal_data, split_overlap, token_budget, vector_neighbours
 
-_MODULES = (answer_defects, group_splits, format_duplicates, split_overlap, vector_neighbours, language, personal_data)
+_MODULES = (answer_defects, group_splits, format_duplicates, split_overlap, vector_neighbours, language, personal_data, packing, mixing, token_budget)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
