@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: tuple = ()
+from corvane.operators import chat
+
+_MODULES: tuple = (chat,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
