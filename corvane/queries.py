@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.operators import chat
+from corvane.operators import chat, dedupe
 
-_MODULES: tuple = (chat,)
+_MODULES: tuple = (chat, dedupe)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
