@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -71,17 +72,27 @@ def fnv1a(c: Column) -> Column:
     return F.lower(F.lpad(F.hex(F.when(c == "", F.lit(2166136261).cast("long")).otherwise(step)), 8, "0"))
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(c)`` with ``c`` computed once, where ``f`` uses it inside a lambda (which would compute it for every element)."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def word_shingles(c: Column) -> Column:
-    """Distinct runs of up to three words of a normalized text, the shorter runs at its end included."""
-    w = F.split(c, " ")
-    return F.array_distinct(F.transform(w, lambda _, i: F.concat_ws(" ", F.slice(w, i + 1, 3))))
+    """Distinct runs of up to three words of a normalized text, the shorter runs at its end included.
+
+    Words are taken by position: ``slice`` would copy the whole array for every run.
+    """
+    return let(F.split(c, " "), lambda w: F.array_distinct(F.transform(w, lambda _, i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))))
 
 
 def token_shingles(c: Column) -> Column:
     """Distinct full runs of three ASCII tokens; of a text with fewer, its tokens."""
-    w = F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), 0)
-    full = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(w, i, 3)))
-    return F.array_distinct(F.when(F.size(w) < 3, w).otherwise(full))
+
+    def runs(w: Column) -> Column:
+        full = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)))
+        return F.array_distinct(F.when(F.size(w) < 3, w).otherwise(full))
+
+    return let(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), 0), runs)
 
 
 def word_set(c: Column) -> Column:
@@ -144,8 +155,8 @@ def pairwise_logistic(p: Column, n: Column) -> Column:
 def softmax(scores: Column, temperature: Column | float = 1.0) -> Column:
     """Probabilities of an array of scores."""
     t = F.lit(temperature) if isinstance(temperature, (int, float)) else temperature
-    e = F.transform(scores, lambda s: F.exp((s - F.array_max(scores)) / t))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+    e = let(F.array_max(scores), lambda m: F.transform(scores, lambda s: F.exp((s - m) / t)))
+    return let(e, lambda v: let(F.aggregate(v, F.lit(0.0), lambda a, y: a + y), lambda z: F.transform(v, lambda x: x / z)))
 
 
 def listwise_kl(teacher: Column, student: Column, temperature: float = 1.0) -> Column:

@@ -221,8 +221,8 @@ _FIND = r"""list_transform(regexp_extract_all(content, '(?i)\b[A-Z0-9._%+-]+@[A-
  || list_transform(regexp_extract_all(content, '\b(?:\+?[0-9][ -]?){10,14}\b'), lambda x: {'kind': 'pii', 'match': x})
  || list_transform(regexp_extract_all(content, '(?i)\b(?:sk-[A-Za-z0-9_-]{12,}|AKIA[0-9A-Z]{16}|(?:api[_-]?key|password)\s*[:=]\s*[^\s,;]+)'), lambda x: {'kind': 'secret', 'match': x})"""
 _LOGS = "l AS (SELECT log_id, generate_subscripts(messages, 1) - 1 AS msg_idx, unnest(messages).content AS content FROM production_logs)"
-_BODIES = """b AS (SELECT example_id AS key, split, lower(array_to_string(list_transform(list_filter(messages[-1].content, lambda p: p.type = 'text'), lambda p: coalesce(p.text, '')), chr(10))) AS body
- FROM (SELECT example_id, arg_max(messages, ingested_at) AS messages, arg_max(split, ingested_at) AS split FROM chat_examples GROUP BY 1))"""
+_BODIES = """b AS (SELECT example_id AS key, split, lower(coalesce(array_to_string(list_transform(list_filter(messages[-1].content, lambda p: p.type = 'text'), lambda p: coalesce(p.text, '')), chr(10)), '')) AS body
+ FROM (SELECT * FROM chat_examples QUALIFY row_number() OVER (PARTITION BY example_id ORDER BY ingested_at DESC) = 1))"""
 SQL = {
     "content_ids_fnv": """SELECT doc_id, lpad(printf('%x', list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(title, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)), 8, '0') AS content_id FROM documents WHERE title IS NOT NULL""",
     "text_hash_states": "SELECT text_key, CASE WHEN coalesce(text_hash, '') = '' THEN 'missing' WHEN text_hash = sha256(to_json(text)::VARCHAR) THEN 'right' ELSE 'stale' END AS state FROM embedding_texts",
@@ -231,8 +231,8 @@ SQL = {
     "exact_dedupe": "SELECT sha256(text) AS hash, min(doc_id) AS representative, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "normalized_dedupe": f"SELECT sha256({_NORM}) AS hash, min(doc_id) AS representative, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "near_dup_pairs": f"""WITH {_SETS}, t AS (SELECT key, len(g) AS n, unnest(g) AS h FROM s),
-p AS (SELECT a.key AS a, b.key AS b, count(*)::DOUBLE AS both, any_value(a.n) AS na, any_value(b.n) AS nb FROM t a JOIN t b ON a.h = b.h AND a.key < b.key GROUP BY ALL)
-SELECT a, b, round(both / (na + nb - both), 9) AS score FROM p WHERE both / (na + nb - both) >= 0.85""",
+p AS (SELECT a.key AS a, b.key AS b, count(*)::DOUBLE AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM t a JOIN t b ON a.h = b.h AND a.key < b.key GROUP BY ALL)
+SELECT a, b, round(k / (na + nb - k), 9) AS score FROM p WHERE k / (na + nb - k) >= 0.85""",
     "minhash_signatures": r"""WITH t AS (SELECT min(doc_id) AS key, regexp_extract_all(lower(title), '[a-z0-9]+') AS w FROM documents WHERE title IS NOT NULL GROUP BY title),
 g AS (SELECT key, list_distinct(CASE WHEN len(w) < 3 THEN w ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) END) AS g FROM t),
 m AS (SELECT key, seed, coalesce(list_min(list_transform(g, lambda x: substr(sha256(seed || ':' || x), 1, 8))), 'ffffffff') AS v FROM g, range(64) r(seed))
@@ -240,8 +240,8 @@ SELECT key, string_agg(v, ',' ORDER BY seed) AS signature FROM m GROUP BY key"""
     "contamination_cross_split": f"""WITH {_SETS}, y AS (SELECT s.key, n.text, s.norm, s.g, {_UNIT.format("s.key::VARCHAR")} < 0.8 AS train FROM s JOIN n USING (key)),
 same AS (SELECT a.key AS train, b.key AS heldout, CASE WHEN a.text = b.text THEN 'exact' ELSE 'normalized' END AS kind, 1.0::DOUBLE AS score FROM y a JOIN y b ON a.norm = b.norm WHERE a.train AND NOT b.train),
 t AS (SELECT key, train, norm, len(g) AS n, unnest(g) AS h FROM y),
-p AS (SELECT a.key AS train, b.key AS heldout, count(*)::DOUBLE AS both, any_value(a.n) AS na, any_value(b.n) AS nb FROM t a JOIN t b ON a.h = b.h AND a.train AND NOT b.train AND a.norm <> b.norm GROUP BY ALL)
-SELECT * FROM same UNION ALL SELECT train, heldout, 'near', round(both / (na + nb - both), 9) FROM p WHERE both / (na + nb - both) >= 0.85""",
+p AS (SELECT a.key AS train, b.key AS heldout, count(*)::DOUBLE AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM t a JOIN t b ON a.h = b.h AND a.train AND NOT b.train AND a.norm <> b.norm GROUP BY ALL)
+SELECT * FROM same UNION ALL SELECT train, heldout, 'near', round(k / (na + nb - k), 9) FROM p WHERE k / (na + nb - k) >= 0.85""",
     "contamination_exact_overlap": f"WITH {_BODIES}, t AS (SELECT body, count(*) AS n FROM b WHERE split = 'train' GROUP BY 1) SELECT key, split, coalesce(n, 0)::BIGINT AS train_rows FROM b LEFT JOIN t USING (body) WHERE split <> 'train'",
     "salted_split": f"SELECT doc_id, {_SPLIT} AS split FROM (SELECT doc_id, {_UNIT.format('doc_id::VARCHAR')} AS u FROM documents)",
     "embedding_split_compat": f"""SELECT record_id, {_SPLIT.replace("u <", "c <")} AS compat_split, {_SPLIT} AS split FROM (SELECT record_id, {_FAMILY} / 9007199254740991::DOUBLE AS c, {_FAMILY} / 4503599627370495::DOUBLE AS u FROM embedding_records)""",
