@@ -45,7 +45,7 @@ def reconcile_batches(items: DataFrame, results: DataFrame) -> DataFrame:
     """``items(request, estimate)`` and ``results(request, seq, cost)``: first result wins, unknown requests are dropped."""
     first = results.groupBy("request").agg(F.min_by("cost", "seq").alias("cost"))
     j = items.groupBy("request").agg(F.min("estimate").alias("estimate")).join(first, "request", "left")
-    return j.agg(F.count(F.lit(1)).alias("submitted"), F.count("cost").alias("completed"), F.count_if(F.col("cost").isNull()).alias("pending"), F.round(F.sum("cost"), 6).alias("cost"))
+    return j.agg(F.count(F.lit(1)).alias("submitted"), F.count("cost").alias("completed"), F.count_if(F.col("cost").isNull()).alias("pending"), F.round(F.sum("cost"), 3).alias("cost"))
 
 
 def recover_attempts(attempts: DataFrame, now: Column) -> DataFrame:
@@ -174,7 +174,7 @@ SQL = {
     "provider_cost_rollup": "WITH p(model, i, o) AS (VALUES ('click', 1.0, 2.0), ('view', 0.5, 1.0), ('purchase', 3.0, 6.0)) SELECT event_type AS role, sum(floor(value)::BIGINT)::BIGINT AS input_tokens, sum(event_id)::BIGINT AS output_tokens, round(sum(coalesce((floor(value) * i::DOUBLE + event_id * o::DOUBLE) / 1e6, 0)), 6) AS cost, count(*) FILTER (WHERE i IS NULL) AS unpriced FROM events LEFT JOIN p ON model = event_type GROUP BY 1",
     "rate_window_usage": "SELECT time_bucket(INTERVAL '60 seconds', ts) AS start, count(*) AS calls, greatest(count(*) - 1, 0) AS over FROM events GROUP BY 1",
     "paid_call_dedupe": "SELECT props AS identity, min(event_id) AS seq, count(*) AS paid FROM events WHERE event_type <> 'error' GROUP BY 1",
-    "batch_reconcile": "WITH f AS (SELECT l_orderkey AS r, arg_min(l_extendedprice, (l_linenumber, l_partkey, l_extendedprice)) AS cost FROM lineitem GROUP BY 1) SELECT count(*) AS submitted, count(cost) AS completed, count(*) FILTER (WHERE cost IS NULL) AS pending, round(sum(cost), 6) AS cost FROM orders LEFT JOIN f ON r = o_orderkey",
+    "batch_reconcile": "WITH f AS (SELECT l_orderkey AS r, arg_min(l_extendedprice, (l_linenumber, l_partkey, l_extendedprice)) AS cost FROM lineitem GROUP BY 1) SELECT count(*) AS submitted, count(cost) AS completed, count(*) FILTER (WHERE cost IS NULL) AS pending, round(sum(cost), 3) AS cost FROM orders LEFT JOIN f ON r = o_orderkey",
     "attempt_recovery": "WITH a AS (SELECT user_id AS record, event_id, CASE WHEN event_type = 'click' THEN CASE WHEN ts <= TIMESTAMP '2024-01-15' THEN 'failed_retryable' ELSE 'running' END ELSE 'succeeded' END AS s FROM events) SELECT record, arg_max(s, event_id) AS status, count(*) AS attempts, count(*) + 1 AS next_attempt FROM a GROUP BY 1",
     "event_sequence_gaps": "WITH x AS (SELECT user_id AS run, floor(value)::BIGINT AS sequence, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INTEGER AS expected FROM events) SELECT * FROM x WHERE sequence <> expected",
     "remote_job_states": "SELECT user_id AS job, arg_max(CASE WHEN event_type = 'click' THEN 'running' ELSE event_type END, event_id) AS status, count(*) FILTER (WHERE event_type = 'click') AS attempts, count(*) AS events FROM events GROUP BY 1",

@@ -168,8 +168,8 @@ _EM, _PH = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", r"\b(?:\+?[0-9][ -]
 _SE = r"(?i)\b(?:sk-[A-Za-z0-9_-]{12,}|AKIA[0-9A-Z]{16}|(?:api[_-]?key|password)\s*[:=]\s*[^\s,;]+)"
 _LEAK = "sha256('s' || chr(0) || coalesce(group_id, provenance.sourceId, example_id))"
 SQL = {
-    "import_decode": """WITH p AS (SELECT row_key AS key, payload, json_valid(payload) AS ok FROM import_records), f AS (SELECT key, ok, CASE WHEN ok THEN payload->>'$.group' END AS g, CASE WHEN ok THEN payload->>'$.query' END AS q, CASE WHEN ok THEN payload->>'$.document' END AS d FROM p),
-e AS (SELECT *, CASE WHEN NOT ok THEN 'EMBED_JSON' WHEN coalesce(g, '') = '' THEN 'EMBED_GROUPS_MISSING' WHEN trim(coalesce(q, '')) = '' OR trim(coalesce(d, '')) = '' THEN 'EMBED_TEXT_REQUIRED' END AS error FROM f)
+    "import_decode": """WITH p AS (SELECT row_key AS key, payload, json_valid(payload) AS ok FROM import_records), f AS (SELECT key, ok, CASE WHEN ok THEN payload END AS j, CASE WHEN ok THEN payload->>'$.group' END AS g, CASE WHEN ok THEN payload->>'$.query' END AS q, CASE WHEN ok THEN payload->>'$.document' END AS d FROM p),
+e AS (SELECT *, CASE WHEN NOT ok THEN 'EMBED_JSON' WHEN NOT list_has_all(json_keys(j), ['query', 'document']) THEN 'EMBED_TASK_MAPPING_REQUIRED' WHEN coalesce(g, '') = '' THEN 'EMBED_GROUPS_MISSING' WHEN trim(coalesce(q, '')) = '' OR trim(coalesce(d, '')) = '' THEN 'EMBED_TEXT_REQUIRED' END AS error FROM f)
 SELECT key, CASE WHEN error IS NULL THEN 'pair' END AS task, CASE WHEN error IS NULL THEN g END AS "group", CASE WHEN error IS NULL THEN q END AS query, CASE WHEN error IS NULL THEN length(d)::INTEGER END AS document_chars, error FROM e""",
     "record_issues": f"""WITH t AS (SELECT record_id, bool_or({_TRIM} = '') AS blank, bool_or(coalesce(text_hash <> sha256(to_json(text)::VARCHAR), true)) AS stale FROM embedding_texts GROUP BY 1),
 w AS (SELECT record_id, norm, len(vec) <> dimension AS size, len(list_filter(vec, lambda x: x IS NULL OR isnan(x))) = 0 AS finite, vec FROM embedding_vectors WHERE storage_kind = 'inline' AND vec IS NOT NULL),
