@@ -25,7 +25,7 @@ def number_text(x: float) -> str:
     e = int(exponent)
     digits = mantissa.replace(".", "").replace("-", "")
     sign = "-" if x < 0 else ""
-    if -7 <= e < 0:
+    if -7 < e < 0:
         return f"{sign}0.{'0' * (-e - 1)}{digits}"
     return f"{mantissa.removesuffix('.0')}e{'+' if e > 0 else '-'}{abs(e)}"
 
