@@ -15,6 +15,8 @@ from corvane.session import table
 
 #: Components of one bundle are ranked by hash inside blocks of about this many.
 BLOCK = 20_000
+#: A component is large when it holds this part of the least split's quota; there are at most 1 / (LARGE * least ratio).
+LARGE = 0.02
 
 RECORD_KEYS = ("split_group", "parent_group", "translation_group", "synthetic_group", "source_id")
 TEXT_KEYS = ("entity_id", "document_id", "corpus_id")
@@ -77,8 +79,9 @@ def allocate(bundles: list[tuple[int, str, int]], ratios: dict[str, float]) -> l
 
     Records flow from bundles over (profile, split) cells to splits. A cell takes its quota at
     no cost and more at cost 1; a split takes its quota at no cost and more at cost 4, so totals
-    are met first and profiles follow them. Flows are then rounded to whole components, large
-    components first, each remainder to the split that lacks most.
+    are met first and profiles follow them. Flows are then rounded to whole components, each
+    remainder to the split that lacks most. Components that hold more than ``LARGE`` of the least
+    split's quota are placed whole before, the largest first, as a flow could only cut them up.
     """
     names = sorted(ratios)
     total_ratio = sum(ratios.values())
@@ -87,6 +90,23 @@ def allocate(bundles: list[tuple[int, str, int]], ratios: dict[str, float]) -> l
     per_profile: dict[str, int] = defaultdict(int)
     for s, p, c in bundles:
         per_profile[p] += s * c
+    lack = {k: total * share[k] for k in names}
+    out: list[dict[str, int]] = [dict.fromkeys(names, 0) for _ in bundles]
+    large = LARGE * total * min(share.values())
+    every = bundles
+    small = []
+    for i in sorted(range(len(every)), key=lambda i: (-every[i][0], every[i][1])):
+        s, p, c = every[i]
+        if s <= large:
+            small.append(i)
+            continue
+        per_profile[p] -= s * c
+        for _ in range(c):
+            k = max(names, key=lambda k: (lack[k], share[k]))
+            out[i][k] += 1
+            lack[k] -= s
+    bundles = [every[i] for i in small]
+    left = {k: max(0, round(lack[k])) for k in names}
     profiles = sorted(per_profile)
     n_b, n_c = len(bundles), len(profiles) * len(names)
     cell = {(p, k): 1 + n_b + i * len(names) + j for i, p in enumerate(profiles) for j, k in enumerate(names)}
@@ -103,17 +123,17 @@ def allocate(bundles: list[tuple[int, str, int]], ratios: dict[str, float]) -> l
             g.add(cell[p, k], last[k], quota, 0)
             g.add(cell[p, k], last[k], per_profile[p], 1)
     for k in names:
-        g.add(last[k], sink, round(total * share[k]), 0)
+        g.add(last[k], sink, left[k], 0)
         g.add(last[k], sink, total, 4)
     g.run(0, sink)
     flow = [{k: g.cap[e ^ 1] for k, e in a.items()} for a in arcs]
-    lack = {k: total * share[k] for k in names}
-    out: list[dict[str, int]] = [{} for _ in bundles]
-    for i in sorted(range(n_b), key=lambda i: (-bundles[i][0], bundles[i][1])):
-        s, _, c = bundles[i]
-        out[i] = {k: flow[i][k] // s for k in names}
+    for j, i in enumerate(small):  # the largest first
+        s = bundles[j][0]
+        out[i] = {k: flow[j][k] // s for k in names}
         for k in names:
             lack[k] -= out[i][k] * s
+    for j, i in enumerate(small):
+        s, _, c = bundles[j]
         for _ in range(c - sum(out[i].values())):
             k = max(names, key=lambda k: (lack[k], share[k]))
             out[i][k] += 1
