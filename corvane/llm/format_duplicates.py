@@ -168,3 +168,16 @@ def p3_stale_hashes(spark: SparkSession, d: str) -> DataFrame:
     tx = table(spark, d, "embedding_texts").select(F.col("text_key").alias("key"), "text_hash")
     per = got.join(tx, "key").groupBy("representative").agg(F.count(F.lit(1)).alias("copies"), F.count_distinct("text_hash").alias("hashes"), F.count_if(F.coalesce(F.col("text_hash"), F.lit("")) == "").alias("missing"))
     return per.groupBy("copies").agg(F.count(F.lit(1)).alias("classes"), F.count_if("hashes > 1").alias("with_differing_hashes"), F.count_if("missing > 0").alias("with_missing_hashes"))
+
+
+_CLASSES = r"""WITH t AS (SELECT 'embedding_texts' AS tbl, text_key AS k, lower(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g')) AS c FROM embedding_texts),
+j AS (SELECT row_key, payload FROM import_records WHERE json_valid(payload)),
+f AS (SELECT row_key, payload, unnest(json_keys(payload)) AS name FROM j),
+g AS (SELECT row_key, lower(name) || '=' || CASE WHEN json_type(payload -> name) = 'NULL' THEN 'null' ELSE 's:' || lower(regexp_replace(payload ->> name, '[^\p{L}\p{N}]+', '', 'g')) END AS x FROM f),
+i AS (SELECT 'import_records' AS tbl, row_key AS k, string_agg(x, chr(31) ORDER BY x) AS c FROM g GROUP BY row_key),
+a AS (SELECT *, min(k) OVER (PARTITION BY tbl, c) AS m, count(*) OVER (PARTITION BY tbl, c) AS n FROM (SELECT * FROM t UNION ALL SELECT * FROM i) WHERE c IS NOT NULL)
+"""
+SQL = {
+    "p3_found": f"{_CLASSES} SELECT tbl, m AS key_a, k AS key_b FROM a WHERE k <> m",
+    "p3_collapsed": f"{_CLASSES} SELECT tbl, k AS key, n AS copies FROM a WHERE k = m",
+}

@@ -225,3 +225,18 @@ def p1_split_shares(spark: SparkSession, d: str) -> DataFrame:
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Records whose component was given two or more splits."""
     return _splits(spark, d).filter("conflict").select(F.col("record").alias("record_id"))
+
+
+SQL = {
+    "p1_found": """WITH RECURSIVE k AS (
+  SELECT record_id AS r, unnest([split_group, parent_group, translation_group, synthetic_group, source_id]) AS k FROM embedding_records
+  UNION ALL SELECT record_id, group_key FROM import_records
+  UNION ALL SELECT record_id, unnest([entity_id, document_id, corpus_id]) FROM embedding_texts),
+p AS (SELECT DISTINCT r, k FROM k WHERE trim(coalesce(k, '')) <> ''), m AS (SELECT k, min(r) AS m FROM p GROUP BY k HAVING count(*) > 1),
+e AS (SELECT DISTINCT r AS a, m AS b FROM p JOIN m USING (k) WHERE r <> m), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+x AS (SELECT a, b FROM u UNION SELECT x.a, u.b FROM x JOIN u ON x.b = u.a),
+c AS (SELECT a AS r, least(a, min(b)) AS c FROM x GROUP BY a),
+s AS (SELECT record_id AS r, split FROM embedding_records UNION ALL SELECT record_id, split FROM import_records),
+z AS (SELECT s.r, coalesce(c, s.r) AS c, split FROM s LEFT JOIN c ON c.r = s.r)
+SELECT DISTINCT r AS record_id FROM z WHERE c IN (SELECT c FROM z GROUP BY c HAVING count(DISTINCT split) > 1)"""
+}

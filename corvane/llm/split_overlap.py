@@ -184,3 +184,17 @@ def p4_overlaps(spark: SparkSession, d: str) -> DataFrame:
     hit = _pairs(texts, splits).groupBy(F.col("e_key").alias("key")).agg(F.count(F.lit(1)).alias("partners"))
     per = texts.select("key", "record").join(splits, "record").join(hit, "key", "left").filter("split IN ('validation', 'test')")
     return per.groupBy("split", "source_name").agg(F.count(F.lit(1)).alias("texts"), F.count("partners").alias("overlapping"), F.coalesce(F.sum("partners"), F.lit(0)).alias("pairs"))
+
+
+_PAIRS = r"""WITH s AS (SELECT record_id, arg_max(split, ingested_at) AS split, arg_max(source_name, ingested_at) AS source_name FROM embedding_records GROUP BY 1),
+t AS (SELECT text_key AS k, split, source_name, lower(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g')) AS c, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM embedding_texts JOIN s USING (record_id) WHERE text IS NOT NULL AND split IN ('train', 'validation', 'test')),
+g AS (SELECT k, split = 'train' AS train, c, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) END AS g FROM t),
+x AS (SELECT k, train, len(g) AS n, unnest(g) AS h FROM g),
+j AS (SELECT a.k AS e, b.k AS t, count(*)::DOUBLE AS b, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.h = b.h AND NOT a.train AND b.train GROUP BY ALL),
+p AS (SELECT e, t FROM j WHERE b / (na + nb - b) >= 0.8 UNION SELECT a.k, b.k FROM g a JOIN g b ON a.c = b.c AND NOT a.train AND b.train)
+"""
+SQL = {
+    "p4_found": f"{_PAIRS} SELECT least(e, t) AS key_a, greatest(e, t) AS key_b FROM p",
+    "p4_overlaps": f"""{_PAIRS}, h AS (SELECT e, count(*) AS n FROM p GROUP BY e), r AS (SELECT text_key AS k, split, source_name FROM embedding_texts JOIN s USING (record_id) WHERE split IN ('validation', 'test'))
+SELECT split, source_name, count(*) AS texts, count(n) AS overlapping, coalesce(sum(n), 0)::BIGINT AS pairs FROM r LEFT JOIN h ON e = k GROUP BY ALL""",
+}
