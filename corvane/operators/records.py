@@ -151,7 +151,16 @@ def _redact(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, EMAIL, "[EMAIL]"), PHONE, "[PHONE]")
 
 
+def _components(s: SparkSession, d: str) -> DataFrame:
+    from corvane.operators.components import connected_components
+
+    keys = F.array("split_group", "parent_group", "translation_group", "synthetic_group", "source_id")
+    m = _e(s, d, "records")[0].select(F.col("record_id").alias("record"), F.explode(keys).alias("key"))
+    return connected_components(m).select(F.col("record").alias("record_id"), F.col("component"))
+
+
 QUERIES = {
+    "lineage_components": _components,
     "import_decode": lambda s, d: decode_rows(table(s, d, "import_records").select(F.col("row_key").alias("key"), "payload"), "group").select("key", "task", "group", F.col("query"), F.length("document").alias("document_chars"), "error"),
     "record_issues": lambda s, d: record_issues(*_e(s, d, "records", "texts", "vectors")),
     "record_global_issues": lambda s, d: global_issues(*_e(s, d, "records", "texts", "vectors")),
@@ -168,6 +177,11 @@ _EM, _PH = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", r"\b(?:\+?[0-9][ -]
 _SE = r"(?i)\b(?:sk-[A-Za-z0-9_-]{12,}|AKIA[0-9A-Z]{16}|(?:api[_-]?key|password)\s*[:=]\s*[^\s,;]+)"
 _LEAK = "sha256('s' || chr(0) || coalesce(group_id, provenance.sourceId, example_id))"
 SQL = {
+    "lineage_components": """WITH RECURSIVE k AS (SELECT record_id AS r, unnest([split_group, parent_group, translation_group, synthetic_group, source_id]) AS k FROM embedding_records),
+p AS (SELECT DISTINCT r, k FROM k WHERE trim(coalesce(k, '')) <> ''), m AS (SELECT k, min(r) AS m FROM p GROUP BY k HAVING count(*) > 1),
+e AS (SELECT DISTINCT r AS a, m AS b FROM p JOIN m USING (k) WHERE r <> m), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+x AS (SELECT a, b FROM u UNION SELECT x.a, u.b FROM x JOIN u ON x.b = u.a), c AS (SELECT a AS r, least(a, min(b)) AS c FROM x GROUP BY a)
+SELECT r AS record_id, coalesce(c, r) AS component FROM (SELECT DISTINCT record_id AS r FROM embedding_records) LEFT JOIN c USING (r)""",
     "import_decode": """WITH p AS (SELECT row_key AS key, payload, json_valid(payload) AS ok FROM import_records), f AS (SELECT key, ok, CASE WHEN ok THEN payload END AS j, CASE WHEN ok THEN payload->>'$.group' END AS g, CASE WHEN ok THEN payload->>'$.query' END AS q, CASE WHEN ok THEN payload->>'$.document' END AS d FROM p),
 e AS (SELECT *, CASE WHEN NOT ok THEN 'EMBED_JSON' WHEN NOT list_has_all(json_keys(j), ['query', 'document']) THEN 'EMBED_TASK_MAPPING_REQUIRED' WHEN coalesce(g, '') = '' THEN 'EMBED_GROUPS_MISSING' WHEN trim(coalesce(q, '')) = '' OR trim(coalesce(d, '')) = '' THEN 'EMBED_TEXT_REQUIRED' END AS error FROM f)
 SELECT key, CASE WHEN error IS NULL THEN 'pair' END AS task, CASE WHEN error IS NULL THEN g END AS "group", CASE WHEN error IS NULL THEN q END AS query, CASE WHEN error IS NULL THEN length(d)::INTEGER END AS document_chars, error FROM e""",
