@@ -318,7 +318,7 @@ class Judge:
         self.asked = {w: k for k, ws in ASKED.items() for w in ws.split()}
 
     def languages(self, texts: list[str]) -> list[dict[str, float]]:
-        """Each text's share of stopword votes by language; of letters by n-gram filters where too few words vote."""
+        """Each text's share of stopword votes by language; of letters times lead by n-gram filters where too few words vote."""
         out: list[dict[str, float]] = []
         for t in texts:
             v: dict[str, float] = {}
@@ -331,9 +331,9 @@ class Judge:
             owner, letters, best, lead = self.filters.sentences([texts[i] for i in weak])
             soft: dict[int, dict[str, float]] = {}
             for o, n, b, x in zip(owner, letters, best, lead, strict=True):
-                if n >= 3 and x >= 0.12 and o < len(weak):
+                if x >= (0.05 if n >= 20 else 0.25) and o < len(weak):
                     d = soft.setdefault(int(o), {})
-                    d[self.filters.langs[b]] = d.get(self.filters.langs[b], 0) + float(n)
+                    d[self.filters.langs[b]] = d.get(self.filters.langs[b], 0) + float(n * x)
             for j, i in enumerate(weak):
                 out[i] = soft.get(j, {})
         total = [sum(v.values()) or 1 for v in out]
@@ -352,7 +352,7 @@ class Judge:
                 out.append("copied")
             elif not other and is_refusal(a):
                 out.append("refusal")
-            elif len(_WORD.findall(a)) >= 3 and self._foreign(p, user, own):  # "Non" is right in several languages
+            elif len(_WORD.findall(a)) >= 4 and self._foreign(p, user, own):  # "Non" is right in several languages
                 out.append("other_language")
             elif is_truncated(a, self.ends):
                 out.append("truncated")

@@ -303,6 +303,9 @@ def _exact(kind: str, text: str, a: int, b: int) -> list[tuple[int, int]]:
         m = re.search(r"\w(?:.*\w)?(?:-\w)?", s, re.S)
         return [(a + m.start(), a + m.end())] if m and sum(c.isdigit() for c in s) >= 5 else []
     if kind == "address":
+        if m := re.match(r" (?:Street|St|Road|Rd|Lane|Drive|Court|Avenue|Ave|Close|Way)\b", text[b:]):
+            b += m.end()
+            s = text[a:b]
         m = re.search(r"\w(?:.*\w)?", s, re.S)
         return [(a + m.start(), a + m.end())] if m and re.search(r"\d", s) and re.search(r"[^\W\d]{3}", s) else []
     out = []
