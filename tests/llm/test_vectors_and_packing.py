@@ -42,6 +42,31 @@ def test_neighbours_against_brute_force(spark):
     assert vn.nearest_vectors(df.limit(0))[0].count() == 0
 
 
+def test_every_rank_with_production_values(spark):
+    rng = np.random.default_rng(1)
+    tight = (rng.normal(size=64) + 0.01 * rng.normal(size=(400, 64))).astype(np.float32)
+    for v in (rng.normal(size=(8, 64)).astype(np.float32), tight):
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "key long, vec array<float>")
+        ranks = {}
+        for r in vn.nearest_vectors(df)[0].collect():
+            ranks.setdefault(r.key, []).append(r.rank)
+        want = list(range(1, min(10, len(v) - 1) + 1))
+        assert len(ranks) == len(v) and all(sorted(x) == want for x in ranks.values())
+
+
+def test_found_survives_half_precision(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=(2, 20_000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.950002 * a + np.sqrt(1 - 0.950002**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    half = (a.astype(np.float16).astype(np.float32) * b.astype(np.float16).astype(np.float32)).sum(axis=1)
+    at = int(half.argmin())
+    assert half[at] < 0.9499
+    spark.createDataFrame([(1, a[at].tolist()), (2, b[at].tolist())], "vec_key long, vec array<float>").write.parquet(f"{tmp_path}/embedding_vectors.parquet")
+    assert [tuple(r) for r in vn.p2_found(spark, str(tmp_path)).collect()] == [(1, 2)]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(1, 40), max_size=12), st.integers(1, 120))
 def test_fullest_is_the_best_sum(sizes, room):
