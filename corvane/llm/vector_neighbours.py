@@ -181,11 +181,21 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """Ten most similar vectors of each distinct vector; copies stand behind their representative."""
+    """Ten most similar vectors of each distinct vector; copies stand behind their representative in ``p2_members``.
+
+    The ten neighbours of any key are its representative's other members, at cosine 1, then the
+    members of its representative's neighbours by rank, cut after ten.
+    """
     few, _ = nearest_vectors(_vectors(spark, d))
     return few.select("key", "other", F.round("cosine", 6).alias("cosine"), "rank")
 
 
+def p2_members(spark: SparkSession, d: str) -> DataFrame:
+    """Every usable vector's key with the representative that stands for it in ``p2_neighbours``; its own where it has no copy."""
+    _, members = nearest_vectors(_vectors(spark, d))
+    return members.select(F.col("key").alias("vec_key"), "representative")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of vectors with a cosine of 0.95 or more."""
     vectors = _vectors(spark, d)

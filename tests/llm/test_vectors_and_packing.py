@@ -54,6 +54,27 @@ def test_every_rank_with_production_values(spark):
         assert len(ranks) == len(v) and all(sorted(x) == want for x in ranks.values())
 
 
+def test_members_cover_every_usable_vector(spark, tmp_path):
+    from corvane.llm.queries import queries
+
+    v = np.random.default_rng(6).normal(size=(12, 64)).astype(np.float32)
+    rows = [(i, v[i % 12].tolist()) for i in range(18)] + [(90, None), (91, [0.0] * 64)]  # keys 12 to 17 are copies
+    spark.createDataFrame(rows, "vec_key long, vec array<float>").write.parquet(f"{tmp_path}/embedding_vectors.parquet")
+    q = queries()
+    rep = {r.vec_key: r.representative for r in q["p2_members"](spark, str(tmp_path)).collect()}
+    assert rep == {i: i % 12 for i in range(18)}
+    near = {}
+    for r in q["p2_neighbours"](spark, str(tmp_path)).collect():
+        near.setdefault(r.key, []).append((r.rank, r.other))
+    assert set(near) == set(rep.values())
+    u = v.astype(float) / np.linalg.norm(v, axis=1, keepdims=True)
+    for key in rep:
+        order = [rep[key]] + [o for _, o in sorted(near[rep[key]])]
+        ten = [m for o in order for m in sorted(rep) if rep[m] == o and m != key][:10]
+        want = sorted((-float(u[key % 12] @ u[m % 12]) for m in rep if m != key))[:10]
+        assert np.allclose([-u[key % 12] @ u[m % 12] for m in ten], want, atol=2e-3)
+
+
 def test_found_survives_half_precision(spark, tmp_path):
     rng = np.random.default_rng(4)
     a, b = rng.normal(size=(2, 20_000, 64))
