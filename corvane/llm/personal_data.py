@@ -101,8 +101,11 @@ class Crf:
             out[r[first]] = np.add.reduceat(self.words[np.array(cols)], first, axis=0)
         return out
 
-    def emissions(self, text: str, cp: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """(token, label) scores of a long text; each distinct word is scored once and kept."""
+    def emissions(self, text: str, cp: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """(token, label) scores of joined texts; each distinct word is scored once and kept.
+
+        ``owner`` numbers each token's text, in order. As in training, nothing beyond a text's ends counts.
+        """
         uniq, at, kind = np.unique(h, return_index=True, return_inverse=True)
         pos = np.searchsorted(self.known, uniq)
         new = np.flatnonzero((pos >= len(self.known)) | (self.known[np.minimum(pos, max(len(self.known) - 1, 0))] != uniq) if len(self.known) else np.ones(len(uniq), bool))
@@ -110,7 +113,7 @@ class Crf:
             s = self.word_scores([text[start[i] : end[i]] for i in at[new]])
             if len(self.known) > 400_000:
                 self.known, self.scores = self.known[:0], self.scores[:0]
-                return self.emissions(text, cp, start, end, h)
+                return self.emissions(text, cp, start, end, h, owner)
             order = np.argsort(np.concatenate([self.known, uniq[new]]), kind="stable")
             self.known = np.concatenate([self.known, uniq[new]])[order]
             self.scores = np.concatenate([self.scores, s])[order]
@@ -119,12 +122,14 @@ class Crf:
         e = self.gaps[gap_before(cp, start)].astype(np.float32)
         nxt = np.zeros(n, np.int64)
         if n:
-            nxt[:-1] = gap_before(cp, start)[1:]
+            nxt[:-1] = np.where(owner[1:] == owner[:-1], gap_before(cp, start)[1:], 0)
         e += self.gaps[4 + nxt]
         for j, o in enumerate(OFFSETS):
             lo, hi = max(0, -o), min(n, n - o)
             if lo < hi:
-                e[lo:hi] += self.scores[row[lo + o : hi + o], j * k : (j + 1) * k]
+                part = self.scores[row[lo + o : hi + o], j * k : (j + 1) * k]
+                part[owner[lo + o : hi + o] != owner[lo:hi]] = 0  # a copy, as rows are taken by index
+                e[lo:hi] += part
         return e
 
     def decode(self, e: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -331,8 +336,8 @@ def find_items(model: Crf, texts: list[str | None]) -> list[list[tuple[int, int,
     start, end, h = token_bounds(cp)
     if not len(start):
         return out
-    e = model.emissions(joined, cp, start, end, h)
     owner = np.searchsorted(starts, start, side="right")
+    e = model.emissions(joined, cp, start, end, h, owner)
     last = np.ones(len(start), bool)
     last[:-1] = owner[1:] != owner[:-1]
     y = model.decode(e, last)

@@ -84,6 +84,21 @@ def test_personal_held_out():
     assert hit / sum(len(g) for g in got) > 0.97 and hit / sum(len(s) for _, s in test) > 0.95
 
 
+def test_items_do_not_depend_on_the_batch():
+    m = personal_data.default_model()
+    r = random.Random(8)
+    texts = []
+    for t, _ in labelled_examples(200, seed=77):  # short texts, many cut next to an item
+        w = t.split(" ")
+        at = r.randrange(len(w) + 1)
+        texts += [" ".join(w[:at]), " ".join(w[at:]), None]
+    alone = [personal_data.find_items(m, [t])[0] for t in texts]
+    assert sum(map(len, alone)) > 100
+    for _ in range(3):
+        order = r.sample(range(len(texts)), len(texts))
+        assert personal_data.find_items(m, [texts[i] for i in order]) == [alone[i] for i in order]
+
+
 def test_masking(spark):
     rows = [("a", ["Call me on (267) 555-0114. Thanks\n", None, ""], 1), ("b", None, 2), ("c", [], 3), ("d", ["word " * 20000 + "Mail: ann.lee@example.org"], 4)]
     d = spark.createDataFrame(rows, "id string, texts array<string>, n int")
