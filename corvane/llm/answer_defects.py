@@ -12,13 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.llm.format_duplicates import _positions, repeat_filter
 from corvane.llm.language import LanguageFilters
+from corvane.plans.cut import cut
+from corvane.plans.skew import join_per_key
 from corvane.session import table
 
 #: Letters and digits that a match of answer and prompt must have to count as copied.
 COPIED_RUN = 12
-#: Slots of each sentence sketch (4 bytes each, three of them, two probes a sentence).
-SLOTS = 1 << 21
 
 # What declines, what only softens or redirects, and what turns a refusal into an answer. Lower case, single spaces.
 REFUSALS = """
@@ -197,41 +198,18 @@ def _last_runs(words: list[str]) -> list[int]:
     return [_hashes(["\x1e", *words[i : i + 3]])[-1] for i in range(len(words) - 2)]
 
 
-def _probe(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = h.astype(np.uint64)
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return (h & np.uint64(SLOTS - 1)).astype(np.int64), ((h >> np.uint64(33)) & np.uint64(SLOTS - 1)).astype(np.int64)
+def sentence_counts(texts: DataFrame, asked: DataFrame, n_asked: int) -> DataFrame:
+    """How often hashes of ``asked(h)`` occur in all ``texts(text)``: ``(h, goes_on, whole, final)``, exactly.
 
-
-class SentenceEnds:
-    """How often words began a sentence that went on, were a whole ended one, or ended a text without an end.
-
-    The first two are also held for runs of three words: going on, and ending a sentence.
+    ``goes_on``: words that began a sentence which went on; ``whole``: a whole ended one; ``final``:
+    they ended a text without an end. For runs of three words the first two: going on, and ending a
+    sentence. A Bloom filter of the asked hashes keeps all others from the shuffle; what it lets
+    through besides them joins nothing later.
     """
+    packed, bits = repeat_filter(asked.select(F.explode(F.array("h", "h")).alias("x")), n_asked)
+    wanted = texts.sparkSession.sparkContext.broadcast(packed)  # at most 16 MB
 
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts
-
-    def _look(self, h: int) -> tuple[int, int, int]:
-        a, b = _probe(np.array([h], np.uint64))
-        return tuple(int(min(c[a[0]], c[b[0]])) for c in self.counts)
-
-    def __call__(self, words: list[str]) -> tuple[int, int, int]:
-        return self._look(_hashes(words)[-1])
-
-    def last_run(self, words: list[str]) -> tuple[int, int]:
-        runs = _last_runs(words)
-        return self._look(runs[-1])[:2] if runs else (0, 0)
-
-
-def sentence_ends(texts: DataFrame) -> np.ndarray:
-    """Counts over all ``texts(text)``, three count-min rows of ``SLOTS`` counters."""
-    spark = texts.sparkSession
-    tasks = 2 * spark.sparkContext.defaultParallelism
-    segment = 1 << 16
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((3, SLOTS), np.uint32)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held: tuple[list[int], list[int], list[int]] = ([], [], [])
             for t in b.column(0).to_pylist():
@@ -244,31 +222,21 @@ def sentence_ends(texts: DataFrame) -> np.ndarray:
                     if ended:
                         held[1].extend(runs[-1:])
             for k, hs in enumerate(held):
-                for at in _probe(np.array(hs, np.uint64)):
-                    n[k] += np.bincount(at, minlength=SLOTS).astype(np.uint32)
-        for k in range(3):
-            for s in range(SLOTS // segment):
-                part = n[k, s * segment : (s + 1) * segment]
-                if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k * SLOTS // segment + s]), pa.array([part.tobytes()])], ["seg", "n"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, np.ndarray] = {}
-        for b in batches:
-            for s, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                kept[s] = kept.get(s, 0) + np.frombuffer(n, np.uint32)
-        for s, n in kept.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([n.astype(np.uint32).tobytes()])], ["seg", "n"])
+                x, n = np.unique(np.array(hs, np.uint64).view(np.int64), return_counts=True)
+                if not len(x):
+                    continue
+                at = _positions(x, bits).reshape(-1, len(x))
+                ok = (wanted.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all(axis=0)
+                if ok.any():
+                    none = np.zeros(int(ok.sum()), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[ok]), *(pa.array(n[ok] if i == k else none) for i in range(3))], ["h", "goes_on", "whole", "final"])
 
-    out = np.zeros(3 * SLOTS, np.uint32)
-    merged = texts.coalesce(tasks).mapInArrow(fill, "seg long, n binary").repartition(tasks, "seg").mapInArrow(merge, "seg long, n binary")
-    for r in merged.toLocalIterator():  # 12 * SLOTS bytes in all
-        out[r[0] * segment : (r[0] + 1) * segment] = np.frombuffer(r[1], np.uint32)
-    return out.reshape(3, SLOTS)
+    seen = texts.mapInArrow(count, "h long, goes_on long, whole long, final long")
+    return seen.groupBy("h").agg(*(F.sum(c).alias(c) for c in ("goes_on", "whole", "final")))
 
 
-def is_truncated(answer: str, ends: SentenceEnds) -> bool:
-    """Breaks off in a bracket, code block, list item, word or sentence."""
+def last_sentence(answer: str) -> bool | list[str]:
+    """Whether a text breaks off in a bracket, code block, list item or word; where only counts can tell, its last sentence's words."""
     if _open_delimiters(answer):
         return True
     t = re.sub(r"[\s*_~​✓—–]+$", "", re.sub(r"\n\s*--+\s*$", "", answer))
@@ -285,19 +253,20 @@ def is_truncated(answer: str, ends: SentenceEnds) -> bool:
     forms = sentence_forms(t)
     if not forms:
         return False
-    words = forms[-1][0]
-    goes_on, whole, final = ends(words)
-    if whole >= 2 and whole * 25 >= goes_on:
-        return False
-    if final >= 4 and final * 2 >= goes_on:
-        return False
-    if goes_on >= 10 and not whole:
-        return True
-    # seldom seen from its beginning: judge by its last three words, wherever sentences had them
-    mid, end = ends.last_run(words)
-    if end >= 2 and end * 20 >= mid:
-        return False
-    return goes_on >= 1 or len(words) > 5
+    return forms[-1][0]
+
+
+def breaks_off() -> F.Column:
+    """Whether a text without a full stop is truncated, by the counts of its last sentence and of that one's last three words."""
+    c = F.col
+    return (
+        F.when((c("whole") >= 2) & (c("whole") * 25 >= c("goes_on")), False)
+        .when((c("final") >= 4) & (c("final") * 2 >= c("goes_on")), False)
+        .when((c("goes_on") >= 10) & (c("whole") == 0), True)
+        # seldom seen from its beginning: judge by its last three words, wherever sentences had them
+        .when((c("end") >= 2) & (c("end") * 20 >= c("mid")), False)
+        .otherwise((c("goes_on") >= 1) | (c("words") > 5))
+    )
 
 
 def stopwords(samples: list[tuple[str, str]]) -> dict[str, dict[str, float]]:
@@ -311,10 +280,10 @@ def stopwords(samples: list[tuple[str, str]]) -> dict[str, dict[str, float]]:
 
 
 class Judge:
-    """Decides the defect of a (prompt, answer)."""
+    """Decides the defect of a (prompt, answer), or names the last sentence that counts must decide."""
 
-    def __init__(self, samples: list[tuple[str, str]], counts: np.ndarray):
-        self.votes, self.filters, self.ends = stopwords(samples), LanguageFilters.fit(samples), SentenceEnds(counts)
+    def __init__(self, samples: list[tuple[str, str]]):
+        self.votes, self.filters = stopwords(samples), LanguageFilters.fit(samples)
         self.asked = {w: k for k, ws in ASKED.items() for w in ws.split()}
 
     def languages(self, texts: list[str]) -> list[dict[str, float]]:
@@ -339,10 +308,10 @@ class Judge:
         total = [sum(v.values()) or 1 for v in out]
         return [{k: x / n for k, x in v.items()} for v, n in zip(out, total, strict=True)]
 
-    def __call__(self, pairs: list[tuple[str, str, bool]]) -> list[str | None]:
-        """Defects of (prompt, answer's text, whether it has a value or uri)."""
+    def __call__(self, pairs: list[tuple[str, str, bool]]) -> list[str | list[str] | None]:
+        """Defects of (prompt, answer's text, whether it has a value or uri), or the words of an open last sentence."""
         langs = self.languages([x for p, a, _ in pairs for x in (p, a)])
-        out: list[str | None] = []
+        out: list[str | list[str] | None] = []
         for i, (p, a, other) in enumerate(pairs):
             if not any(c.isalnum() for c in a):
                 out.append(None if other else "empty")
@@ -354,10 +323,9 @@ class Judge:
                 out.append("refusal")
             elif len(_WORD.findall(a)) >= 4 and self._foreign(p, user, own):  # "Non" is right in several languages
                 out.append("other_language")
-            elif is_truncated(a, self.ends):
-                out.append("truncated")
             else:
-                out.append(None)
+                last = last_sentence(a)
+                out.append(last if isinstance(last, list) else "truncated" if last else None)
         return out
 
     def _foreign(self, prompt: str, user: dict[str, float], own: dict[str, float]) -> bool:
@@ -369,7 +337,11 @@ class Judge:
         return mine not in {self.asked[w] for w in _WORD.findall(prompt.lower()) if w in self.asked}
 
 
-OUT = "example_id string, msg_idx int, defect string"
+OUT = "example_id string, msg_idx int, defect string, sentence long, run long, words int"
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
 
 
 def _texts(content: list[dict] | None) -> tuple[str, bool]:
@@ -384,16 +356,16 @@ def answer_defects(examples: DataFrame, samples: list[tuple[str, str]]) -> DataF
     before. Defects, the first that holds: ``empty``, ``copied``, ``refusal``, ``other_language``,
     ``truncated``. A message's texts are joined by line ends and read whole. Null messages, contents
     and texts count as nothing; an example delivered again gives the same rows, once; an empty table
-    gives none; other columns are ignored. What ends a sentence is counted over all messages first.
+    gives none; other columns are ignored. A text without a full stop is
+    judged by exact counts, over all messages, of its last sentence and its last three words (64-bit hashes).
     """
     spark = examples.sparkSession
     rows = examples.select("example_id", "messages").filter("example_id IS NOT NULL AND messages IS NOT NULL")
     said = rows.select(F.explode("messages").alias("m")).filter("m.role = 'assistant'").select(F.array_join(F.transform("m.content", lambda p: p["text"]), "\n").alias("text"))
-    counts = sentence_ends(said.filter("text IS NOT NULL"))
-    judge = spark.sparkContext.broadcast((samples, counts))  # 12 * SLOTS bytes and the samples
+    given = spark.sparkContext.broadcast(samples)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        j = Judge(*judge.value)
+        j = Judge(given.value)
         for b in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             where, pairs = [], []
             for ex, messages in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -406,12 +378,29 @@ def answer_defects(examples: DataFrame, samples: list[tuple[str, str]]) -> DataF
                     elif m["role"] == "assistant" and prompt is not None and not m["toolCalls"]:
                         where.append((ex, i))
                         pairs.append((prompt, *_texts(m["content"])))
-            got = [(*w, x) for w, x in zip(where, j(pairs), strict=True) if x] if pairs else []
+            got = []
+            for w, x in zip(where, j(pairs) if pairs else [], strict=True):
+                if isinstance(x, list):
+                    got.append((*w, None, _signed(_hashes(x)[-1]), *map(_signed, _last_runs(x)[-1:] or _hashes(x)[-1:]), len(x)))
+                elif x:
+                    got.append((*w, x, None, None, None))
             if got:
-                a, i, x = zip(*got, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(i, pa.int32()), pa.array(x, pa.string())], ["example_id", "msg_idx", "defect"])
-
-    return rows.mapInArrow(find, OUT).distinct()
+                kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got, strict=True), kinds, strict=True)], ["example_id", "msg_idx", "defect", "sentence", "run", "words"])
+
+    found = cut(rows.mapInArrow(find, OUT).distinct())
+    open_ = found.filter("defect IS NULL")
+    n = open_.count()
+    asked = cut(open_.select(F.explode(F.array("sentence", "run")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")))
+    counts = sentence_counts(said.filter("text IS NOT NULL"), asked, asked.count())
+    counts = cut(asked.join(counts, "h", "left").na.fill(0))
+    whole = counts.select(F.col("h").alias("sentence"), "n", "goes_on", "whole", "final")
+    run = counts.select(F.col("h").alias("run"), F.col("n").alias("m"), F.col("goes_on").alias("mid"), F.col("whole").alias("end"))
+    both = join_per_key(join_per_key(open_, whole, "sentence", 2 * n, "n"), run, "run", 2 * n, "m")
+    short = F.col("words") < 3  # no run of three words
+    both = both.withColumn("mid", F.when(short, 0).otherwise(F.col("mid"))).withColumn("end", F.when(short, 0).otherwise(F.col("end")))
+    broken = both.filter(breaks_off()).select("example_id", "msg_idx", F.lit("truncated").alias("defect"))
+    return found.filter("defect IS NOT NULL").select("example_id", "msg_idx", "defect").unionByName(broken).distinct()
 
 
 def _defects(spark: SparkSession, d: str) -> DataFrame:

@@ -140,3 +140,21 @@ def test_defects(spark, samples):
     got = {r.example_id: r.defect for r in ad.answer_defects(d, samples).collect()}
     assert got == {"empty": "empty", "none": "empty", "refusal": "refusal", "copied": "copied", "foreign": "other_language", "cut": "truncated"}
     assert ad.answer_defects(d.limit(0), samples).count() == 0
+
+
+def test_endings_are_counted_exactly(spark, samples):
+    msg = lambda role, t: (role, [("text", t, None, None)], None, None, None)
+    q = "When will the parcel that I ordered on Friday arrive at my home?"
+    # in a count-min sketch of 2^21 slots these words, as whole sentences, hide that the ending was never one
+    texts = {"cut": "The parcel was sent on Monday and it baban"} | {f"w{i}": "Kaseta. Mipaso." for i in range(3)}
+    rows = [(k, [msg("user", q), msg("assistant", t)]) for k, t in texts.items()]
+    d = spark.createDataFrame(rows, "example_id string, messages array<struct<role:string,content:array<struct<type:string,text:string,value:string,uri:string>>,name:string,toolCallId:string,toolCalls:array<struct<id:string,name:string,arguments:string>>>>")
+    assert [tuple(r) for r in ad.answer_defects(d, samples).collect()] == [("cut", 1, "truncated")]
+
+
+def test_sentence_counts_brute_force(spark):
+    texts = ["One two three four. One two", "one two three four. One two three", "One two", None, "Other words here."] * 3
+    hs = {w: ad._signed(ad._hashes(w.split())[-1]) for w in ("one", "one two", "one two three", "one two three four", "never seen")}
+    asked = spark.createDataFrame([(h,) for h in hs.values()], "h long")
+    got = {r.h: (r.goes_on, r.whole, r.final) for r in ad.sentence_counts(spark.createDataFrame([(t,) for t in texts], "text string"), asked, len(hs)).collect()}
+    assert {k: got.get(h, (0, 0, 0)) for k, h in hs.items()} == {"one": (15, 0, 0), "one two": (9, 0, 6), "one two three": (6, 0, 3), "one two three four": (0, 6, 0), "never seen": (0, 0, 0)}
