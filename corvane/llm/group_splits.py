@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.operators.components import connected_components
+from corvane.operators.records import RECORD_KEYS, TEXT_KEYS
 from corvane.plans.cut import cut
 from corvane.plans.skew import join_per_key
 from corvane.session import table
@@ -18,9 +19,6 @@ BLOCK = 20_000
 #: A component is large when it holds this part of the least split's quota; there are at most 1 / (LARGE * least ratio).
 LARGE = 0.02
 
-RECORD_KEYS = ("split_group", "parent_group", "translation_group", "synthetic_group", "source_id")
-TEXT_KEYS = ("entity_id", "document_id", "corpus_id")
-
 
 class _Flow:
     """Successive shortest paths on a small graph (Bellman-Ford queue, non-negative start costs)."""

@@ -14,6 +14,10 @@ KNOWN = (
     "anchor query positive document negative positives negatives left right text1 text2 score label labels text instruction vector teacher candidates ranking candidate_pool_id corpus_id id split_group"
 ).split()
 
+# Columns whose equal values relate records, of records and of their texts.
+RECORD_KEYS = ("split_group", "parent_group", "translation_group", "synthetic_group", "source_id")
+TEXT_KEYS = ("entity_id", "document_id", "corpus_id")
+
 
 def detect_task(keys: Column) -> Column:
     """Task of an external row by its column names; ``error:...`` where they fit several or none."""
@@ -159,8 +163,27 @@ def _components(s: SparkSession, d: str) -> DataFrame:
     return connected_components(m).select(F.col("record").alias("record_id"), F.col("component"))
 
 
+def lineage_keys(records: DataFrame, texts: DataFrame) -> DataFrame:
+    """All keys ``(record, key)`` that relate records: their own, their texts' and ``metadata.timeGroup`` where that is a string.
+
+    Texts of no record relate nothing; a column without a value gives a null key.
+    """
+    group = "try_variant_get(try_parse_json(metadata), '$.timeGroup', '{}')"
+    time = F.expr(f"CASE WHEN schema_of_variant({group.format('variant')}) = 'STRING' THEN {group.format('string')} END")
+    own = records.select(F.col("record_id").alias("record"), F.explode(F.array(*RECORD_KEYS, time)).alias("key"))
+    theirs = texts.join(records.select("record_id").distinct(), "record_id", "left_semi").select(F.col("record_id").alias("record"), F.explode(F.array_compact(F.array(*TEXT_KEYS))).alias("key"))
+    return own.unionByName(theirs)
+
+
+def _whole_components(s: SparkSession, d: str) -> DataFrame:
+    from corvane.operators.components import connected_components
+
+    return connected_components(lineage_keys(*_e(s, d, "records", "texts"))).select(F.col("record").alias("record_id"), "component")
+
+
 QUERIES = {
     "lineage_components": _components,
+    "lineage_components_whole": _whole_components,
     "import_decode": lambda s, d: decode_rows(table(s, d, "import_records").select(F.col("row_key").alias("key"), "payload"), "group").select("key", "task", "group", F.col("query"), F.length("document").alias("document_chars"), "error"),
     "record_issues": lambda s, d: record_issues(*_e(s, d, "records", "texts", "vectors")),
     "record_global_issues": lambda s, d: global_issues(*_e(s, d, "records", "texts", "vectors")),
@@ -182,6 +205,13 @@ p AS (SELECT DISTINCT r, k FROM k WHERE trim(coalesce(k, '')) <> ''), m AS (SELE
 e AS (SELECT DISTINCT r AS a, m AS b FROM p JOIN m USING (k) WHERE r <> m), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 x AS (SELECT a, b FROM u UNION SELECT x.a, u.b FROM x JOIN u ON x.b = u.a), c AS (SELECT a AS r, least(a, min(b)) AS c FROM x GROUP BY a)
 SELECT r AS record_id, coalesce(c, r) AS component FROM (SELECT DISTINCT record_id AS r FROM embedding_records) LEFT JOIN c USING (r)""",
+    "lineage_components_whole": """WITH RECURSIVE n AS (SELECT DISTINCT record_id FROM embedding_records),
+k AS (SELECT record_id AS r, unnest([split_group, parent_group, translation_group, synthetic_group, source_id, CASE WHEN json_valid(metadata) AND json_type(metadata, '$.timeGroup') = 'VARCHAR' THEN metadata->>'$.timeGroup' END]) AS k FROM embedding_records
+ UNION ALL SELECT record_id, unnest([entity_id, document_id, corpus_id]) FROM embedding_texts SEMI JOIN n USING (record_id)),
+p AS (SELECT DISTINCT r, k FROM k WHERE trim(coalesce(k, '')) <> ''), m AS (SELECT k, min(r) AS m FROM p GROUP BY k HAVING count(*) > 1),
+e AS (SELECT DISTINCT r AS a, m AS b FROM p JOIN m USING (k) WHERE r <> m), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+x AS (SELECT a, b FROM u UNION SELECT x.a, u.b FROM x JOIN u ON x.b = u.a), c AS (SELECT a AS r, least(a, min(b)) AS c FROM x GROUP BY a)
+SELECT r AS record_id, coalesce(c, r) AS component FROM (SELECT record_id AS r FROM n) LEFT JOIN c USING (r)""",
     "import_decode": """WITH p AS (SELECT row_key AS key, payload, json_valid(payload) AS ok FROM import_records), f AS (SELECT key, ok, CASE WHEN ok THEN payload END AS j, CASE WHEN ok THEN payload->>'$.group' END AS g, CASE WHEN ok THEN payload->>'$.query' END AS q, CASE WHEN ok THEN payload->>'$.document' END AS d FROM p),
 e AS (SELECT *, CASE WHEN NOT ok THEN 'EMBED_JSON' WHEN NOT list_has_all(json_keys(j), ['query', 'document']) THEN 'EMBED_TASK_MAPPING_REQUIRED' WHEN coalesce(g, '') = '' THEN 'EMBED_GROUPS_MISSING' WHEN trim(coalesce(q, '')) = '' OR trim(coalesce(d, '')) = '' THEN 'EMBED_TEXT_REQUIRED' END AS error FROM f)
 SELECT key, CASE WHEN error IS NULL THEN 'pair' END AS task, CASE WHEN error IS NULL THEN g END AS "group", CASE WHEN error IS NULL THEN q END AS query, CASE WHEN error IS NULL THEN length(d)::INTEGER END AS document_chars, error FROM e""",

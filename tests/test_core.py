@@ -43,6 +43,18 @@ def test_components_against_union_find(spark):
     assert connected_components(pairs(spark, [], "record string, key string")).count() == 0
 
 
+def test_lineage_keys_of_texts_and_time(spark, tmp_path):
+    from corvane.queries import queries
+
+    meta = {"a": '{"timeGroup": "t"}', "b": '{"timeGroup": "t"}', "c": '{"timeGroup": 5}', "d": '{"timeGroup": 5}', "e": "{broken", "g": None}
+    rec = [(r, f"s{r}", None, None, None, None, m) for r, m in meta.items()]
+    texts = [("c", "hot", None, ""), ("e", "hot", None, None), ("d", None, "doc", None), ("g", None, "other", "doc"), ("gone", "hot", "doc", None)]
+    pairs(spark, rec, "record_id string, split_group string, parent_group string, translation_group string, synthetic_group string, source_id string, metadata string").write.parquet(f"{tmp_path}/embedding_records.parquet")
+    pairs(spark, texts, "record_id string, entity_id string, document_id string, corpus_id string").write.parquet(f"{tmp_path}/embedding_texts.parquet")
+    got = {r.record_id: r.component for r in queries()["lineage_components_whole"](spark, str(tmp_path)).collect()}
+    assert got == {"a": "a", "b": "a", "c": "c", "e": "c", "d": "d", "g": "d"}
+
+
 def test_leaders_differ_from_components(spark):
     keys = pairs(spark, [(i,) for i in (1, 2, 3, 4, 5)], "key long")
     edges = pairs(spark, [(1, 2), (2, 3), (3, 4)], "a long, b long")  # 1~2~3~4 but 1 and 3 are not similar
