@@ -19,21 +19,40 @@ def _digest(df: DataFrame) -> tuple[str, int]:
     return hashlib.sha256("".join(r["d"] for r in buckets).encode()).hexdigest(), sum(r["n"] for r in buckets)
 
 
+#: Up to so many lineage roots also stand in the manifest itself.
+LISTED = 100_000
+
+
 def freeze(df: DataFrame, path: str, lineage: str | None = None, overwrite: bool = False) -> dict:
-    """Write ``records`` (canonical JSONL) and ``manifest`` under ``path``: hash, rows, sorted distinct lineage roots (a small set)."""
+    """Write ``records`` (canonical JSONL), ``lineage_roots`` and ``manifest`` under ``path``: hash, rows, lineage roots.
+
+    All sorted distinct roots are a table (parquet, column ``root``); the manifest has its path beside
+    the records, count and digest. ``lineageRoots`` lists them where there are at most ``LISTED``, else it is null.
+    """
+    spark = df.sparkSession
     write_lines(df, f"{path}/records", canonical=True, overwrite=overwrite)
-    digest, n = _digest(df.sparkSession.read.text(f"{path}/records"))
-    roots = [] if lineage is None else sorted(r[0] for r in df.select(lineage).distinct().limit(100_000).collect() if r[0] is not None)
-    manifest = {"version": "1.0.0", "recordsHash": digest, "recordCount": n, "lineageRoots": roots}
-    df.sparkSession.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").text(f"{path}/manifest")
+    digest, n = _digest(spark.read.text(f"{path}/records"))
+    manifest = {"version": "1.0.0", "recordsHash": digest, "recordCount": n, "lineageRoots": []}
+    if lineage is not None:
+        roots = df.select(F.col(lineage).alias("root")).filter("root IS NOT NULL").distinct().orderBy("root")
+        roots.write.mode("overwrite" if overwrite else "errorifexists").parquet(f"{path}/lineage_roots")
+        roots = spark.read.parquet(f"{path}/lineage_roots")
+        hashed, count = _digest(roots.select(F.col("root").cast("string").alias("value")))
+        listed = sorted(r[0] for r in roots.collect()) if count <= LISTED else None
+        manifest |= {"lineageRoots": listed, "lineageRootsPath": "lineage_roots", "lineageRootsHash": hashed, "lineageRootCount": count}
+    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").text(f"{path}/manifest")
     return manifest
 
 
 def verify_frozen(spark: SparkSession, path: str) -> dict:
-    """The manifest, if the records still have its hash and count; else an error."""
+    """The manifest, if the records and the lineage roots still have its hashes and counts; else an error."""
     manifest = json.loads(spark.read.text(f"{path}/manifest").first()[0])
     if (manifest["recordsHash"], manifest["recordCount"]) != _digest(spark.read.text(f"{path}/records")):
         raise ValueError(f"frozen records under {path} were changed")
+    if at := manifest.get("lineageRootsPath"):
+        roots = spark.read.parquet(f"{path}/{at}").select(F.col("root").cast("string").alias("value"))
+        if (manifest["lineageRootsHash"], manifest["lineageRootCount"]) != _digest(roots):
+            raise ValueError(f"frozen lineage roots under {path} were changed")
     return manifest
 
 

@@ -179,6 +179,19 @@ def test_freeze(spark, tmp_path):
     drop(inv)
 
 
+def test_freeze_keeps_every_root(spark, tmp_path):
+    n = 100_005
+    d = spark.range(n).select(F.format_string("root-%06d", "id").alias("root"))
+    m = frozen.freeze(d, str(tmp_path / "a"), "root")
+    table = spark.read.parquet(str(tmp_path / "a" / m["lineageRootsPath"]))
+    assert m["lineageRootCount"] == n == table.distinct().count() and m["lineageRoots"] is None
+    assert frozen.freeze(d.repartition(5), str(tmp_path / "b"), "root") == m and frozen.verify_frozen(spark, str(tmp_path / "a")) == m
+    table.limit(9).write.parquet(str(tmp_path / "part"))
+    spark.read.parquet(str(tmp_path / "part")).write.mode("overwrite").parquet(str(tmp_path / "b" / "lineage_roots"))
+    with pytest.raises(ValueError, match="roots"):
+        frozen.verify_frozen(spark, str(tmp_path / "b"))
+
+
 def test_stages(spark, tmp_path):
     runs = []
     a = Stage("a", lambda: (runs.append("a"), spark.range(3))[1])
