@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +25,7 @@ from corvane.functions.text import (
     word_shingles,
 )
 from corvane.plans.cut import cut, drop
+from corvane.plans.skew import join_per_key
 from corvane.session import table
 
 SEEDS = 64
@@ -107,6 +113,42 @@ def minhash(rows: DataFrame, seeds: int = SEEDS) -> DataFrame:
     return per.unionByName(none)
 
 
+def text_signatures(rows: DataFrame, seeds: int = SEEDS) -> DataFrame:
+    """``rows(key, text)`` to ``(key, representative, signature)``: ``minhash`` of whole texts, its values in seed order, joined by commas.
+
+    Equal texts are signed once, under their least key, which every key names; null texts are left
+    out. Signed a batch at a time, each distinct shingle of it once, so no shingle is shuffled.
+    """
+    marked = cut(rows.filter("text IS NOT NULL").select("key", "text", F.sha2("text", 256).alias("hash")))
+    firsts = marked.groupBy("hash").agg(F.min("key").alias("representative"), F.count(F.lit(1)).alias("copies"))
+    firsts = cut(firsts)
+    texts = marked.select("key", "hash", "text").join(firsts.select("hash", F.col("representative").alias("key")), ["hash", "key"]).dropDuplicates(["hash"])
+    # hashing costs far more than the bytes tell, so the tasks are not left to adaptive coalescing
+    sets = texts.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "hash").select("hash", token_shingles(F.col("text")).alias("items"))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sha = hashlib.sha256
+        starts = [f"{i}:".encode() for i in range(seeds)]
+        for b in (b.slice(i, 100) for b in batches for i in range(0, b.num_rows, 100)):
+            items = b.column(1)
+            words = items.flatten().dictionary_encode()
+            distinct = [x.encode() for x in words.dictionary.to_pylist()]
+            h = np.empty((len(distinct), seeds), np.uint32)
+            for i, g in enumerate(distinct):
+                h[i] = np.frombuffer(b"".join([sha(p + g).digest()[:4] for p in starts]), ">u4")
+            at, ids = 0, words.indices.to_numpy()
+            out = []
+            for n in pc.list_value_length(items).to_pylist():
+                least = h[ids[at : at + n]].min(axis=0) if n else np.full(seeds, 0xFFFFFFFF, np.uint32)
+                at += n
+                raw = least.astype(">u4").tobytes().hex()
+                out.append(",".join(raw[8 * i : 8 * i + 8] for i in range(seeds)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["hash", "signature"])
+
+    signed = sets.mapInArrow(sign, "hash string, signature string").join(firsts, "hash")
+    return join_per_key(marked.select("key", "hash"), signed, "hash", marked.count(), "copies").select("key", "representative", "signature")
+
+
 def first_similar(rows: DataFrame, threshold: float) -> DataFrame:
     """``rows(key, body)`` to ``(key, first, kind)``: the least earlier key with an equal body or as many equal minhashes.
 
@@ -200,6 +242,7 @@ QUERIES = {
     "near_dup_pairs": lambda s, d: similar_pairs(_docs(s, d).filter("text IS NOT NULL").select("key", word_shingles(normalize(F.col("text"), compose=False)).alias("items")), 0.85).withColumn("score", F.round("score", 9)),
     "leader_clusters": lambda s, d: dedupe_texts(_docs(s, d)),
     "minhash_signatures": lambda s, d: minhash(table(s, d, "documents").filter("title IS NOT NULL").groupBy(F.col("title").alias("text")).agg(F.min("doc_id").alias("key"))).groupBy("key").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("seed", "value"))), lambda x: x["value"])).alias("signature")),
+    "minhash_text_signatures": lambda s, d: text_signatures(_docs(s, d)),
     "chat_dedupe_first_prior": lambda s, d: first_similar(_chat_bodies(s, d).select("key", "body"), 0.8),
     "contamination_cross_split": lambda s, d: contamination(_sided(s, d)).withColumn("score", F.round("score", 9)),
     "contamination_exact_overlap": lambda s, d: exact_overlap(_chat_bodies(s, d)),

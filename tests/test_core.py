@@ -99,6 +99,19 @@ def test_first_similar(spark):
     assert got[2] == (1, "minhash") and got[3] == (1, "exact") and got[4][0] == 4
 
 
+def test_text_signatures(spark, tmp_path):
+    from corvane.queries import queries
+
+    texts = {1: "One two, three four five. " * 3, 2: "", 3: "one two", 4: "One two, three four five. " * 3, 5: None, 6: "é ü", 7: "one two three six"}
+    rows = [(k, t, None if k < 4 else "same title") for k, t in texts.items()]
+    pairs(spark, rows, "doc_id long, text string, title string").write.parquet(f"{tmp_path}/documents.parquet")
+    plain = {}
+    for r in dedupe.minhash(pairs(spark, [(k, t) for k, t in texts.items() if t is not None], "key long, text string")).collect():
+        plain.setdefault(r.key, {})[r.seed] = r.value
+    got = {r.key: r for r in queries()["minhash_text_signatures"](spark, str(tmp_path)).collect()}
+    assert {k: (r.representative, r.signature) for k, r in got.items()} == {k: (min(x for x in texts if texts[x] == texts[k]), ",".join(plain[k][i] for i in range(64))) for k in texts if k != 5}
+
+
 def test_canonical_json(spark):
     rows = [('{"b":1.0,"a":[1e-7,true,null,"é\\u001f"]}', '{"a":[1e-7,true,null,"é\\u001f"],"b":1}'), ("{", None), (None, None)]
     got = pairs(spark, [(i, a) for i, (a, _) in enumerate(rows)], "i int, a string").select("i", canonical.canonical_json("a").alias("c")).orderBy("i").collect()
