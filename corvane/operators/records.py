@@ -37,23 +37,27 @@ def detect_task(keys: Column) -> Column:
 
 
 def decode_rows(rows: DataFrame, group_column: str = "split_group") -> DataFrame:
-    """JSON rows ``(key, payload)`` to ``(key, task, group, query, document, extra, error)`` for tasks of pairs.
+    """JSON rows ``(key, payload)`` to ``(key, task, group, query, document, negative, extra, error)`` for pairs and triplets.
 
-    Text of either role is required and not blank; the group is required; unknown columns stay as
+    Text of every role the task has is required and not blank (``negative``: triplets alone); rows of
+    the other kinds give an error code (see the README); the group is required; unknown columns stay as
     JSON in ``extra``. Broken JSON and each missing part give an error code instead of a value.
     """
     f = F.from_json("payload", "map<string,string>", {"mode": "PERMISSIVE", "allowSingleQuotes": "false"})
     d = rows.withColumn("f", F.when(F.try_parse_json("payload").isNotNull(), f)).withColumn("task", detect_task(F.map_keys("f")))
     get = lambda *k: F.coalesce(*(F.try_element_at("f", F.lit(x)) for x in k))
     query, doc, group = get("query", "anchor"), get("document", "positive"), get(group_column)
+    triplet, negative = F.col("task") == "triplet", get("negative")
+    doc = F.when(triplet, get("positive", "document")).otherwise(doc)
+    query = F.when(triplet, get("anchor", "query")).otherwise(query)
     blank = lambda c: trim_all(F.coalesce(c, F.lit(""))) == ""
     error = (
         F.when(F.col("f").isNull(), "EMBED_JSON").when(F.col("task").startswith("error:"), F.substring("task", 7, 100)).when(F.coalesce(group, F.lit("")) == "", "EMBED_GROUPS_MISSING")
-        .when(blank(query) | blank(doc), "EMBED_TEXT_REQUIRED")
+        .when(blank(query) | blank(doc) | (triplet & blank(negative)), "EMBED_TEXT_REQUIRED")
     )
     extra = F.map_filter("f", lambda k, _: ~k.isin(*KNOWN, group_column))
     ok = error.isNull()
-    return d.select("key", F.when(ok, F.col("task")).alias("task"), F.when(ok, group).alias("group"), F.when(ok, query).alias("query"), F.when(ok, doc).alias("document"), F.when(ok & (F.size(extra) > 0), F.to_json(F.map_from_entries(F.array_sort(F.map_entries(extra))))).alias("extra"), error.alias("error"))
+    return d.select("key", F.when(ok, F.col("task")).alias("task"), F.when(ok, group).alias("group"), F.when(ok, query).alias("query"), F.when(ok, doc).alias("document"), F.when(ok & triplet, negative).alias("negative"), F.when(ok & (F.size(extra) > 0), F.to_json(F.map_from_entries(F.array_sort(F.map_entries(extra))))).alias("extra"), error.alias("error"))
 
 
 def encode_pairs(pairs: DataFrame, form: str) -> DataFrame:

@@ -55,6 +55,15 @@ def test_lineage_keys_of_texts_and_time(spark, tmp_path):
     assert got == {"a": "a", "b": "a", "c": "c", "e": "c", "d": "d", "g": "d"}
 
 
+def test_triplets_keep_their_negative(spark):
+    from corvane.operators.records import decode_rows
+
+    rows = [{"anchor": "a", "positive": "p", "negative": "n"}, {"query": "a", "positive": "p", "negative": " "}, {"query": "q", "document": "d", "note": "x"}, {"query": "q", "positives": ["p"]}]
+    d = pairs(spark, [(i, json.dumps(r | {"split_group": "g"})) for i, r in enumerate(rows)], "key int, payload string")
+    got = {r.key: (r.task, r.query, r.document, r.negative, r.error) for r in decode_rows(d).collect()}
+    assert got == {0: ("triplet", "a", "p", "n", None), 1: (None, None, None, None, "EMBED_TEXT_REQUIRED"), 2: ("pair", "q", "d", None, None), 3: (None, None, None, None, "EMBED_TEXT_REQUIRED")}
+
+
 def test_leaders_differ_from_components(spark):
     keys = pairs(spark, [(i,) for i in (1, 2, 3, 4, 5)], "key long")
     edges = pairs(spark, [(1, 2), (2, 3), (3, 4)], "a long, b long")  # 1~2~3~4 but 1 and 3 are not similar
