@@ -12,26 +12,41 @@ _made: dict[str, SparkSession] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset, a local one (tests)."""
+    """The session's ``spark.checkpoint.dir``. Unset, a local master gets a folder of its own; any other master is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="corvane-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
+def cut(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back; with ``by`` in one folder a value, so a filter on it reads that alone.
 
     Unlike ``checkpoint()`` this computes the plan once and keeps column pruning and
     statistics; a lost executor costs only the tasks it ran. ``drop`` removes it early,
     otherwise it goes when the driver ends.
     """
     spark = df.sparkSession
+    path = new_path(spark)
+    w = df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1")
+    (w.partitionBy(by) if by else w).parquet(path)
+    return read_cut(spark, path, df.schema)
+
+
+def new_path(spark: SparkSession) -> str:
+    """Where a table may be written that goes when the driver ends."""
     path = f"{shared_folder(spark)}/corvane-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(path)
     _made[path] = spark
-    out = spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def read_cut(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table under a path of ``new_path``."""
+    out = spark.read.schema(schema).parquet(path)
     out._corvane_path = path
     return out
 
