@@ -26,27 +26,28 @@ def term_counts(texts: DataFrame, size: int, counters: int = COUNTERS) -> np.nda
     """How many of all ``texts(text)`` hold a term, for each of ``counters`` hash classes of terms."""
     shift = np.uint64(64 - (counters.bit_length() - 1))
     segment = min(_SEGMENT, counters)
-    tasks = 4 * texts.sparkSession.sparkContext.defaultParallelism
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(counters, np.int64)
         for b in batches:
             h, _ = shingle_sets(b.column(0).to_pylist(), size)
             n += np.bincount((h >> shift).astype(np.int64), minlength=counters)
-        for s in range(counters // segment):
+        for s in range(counters // segment):  # a task with few terms sends few bytes
             part = n[s * segment : (s + 1) * segment]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([np.minimum(part, 2**32 - 1).astype(np.uint32).tobytes()])], ["seg", "n"])
+            at = np.flatnonzero(part)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([at.astype(np.uint16).tobytes()]), pa.array([np.minimum(part[at], 2**32 - 1).astype(np.uint32).tobytes()])], ["seg", "at", "n"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, np.ndarray] = {}
         for b in batches:
-            for s, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                kept[s] = kept.get(s, 0) + np.frombuffer(n, np.uint32).astype(np.int64)
+            for s, at, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                sums = kept.setdefault(s, np.zeros(segment, np.int64))
+                sums[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint32)
         for s, n in kept.items():
             yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([np.minimum(n, 2**32 - 1).astype(np.uint32).tobytes()])], ["seg", "n"])
 
-    merged = texts.coalesce(tasks).mapInArrow(fill, "seg long, n binary").repartition(min(tasks, counters // segment), "seg").mapInArrow(merge, "seg long, n binary")
+    merged = texts.mapInArrow(fill, "seg long, at binary, n binary").repartition(max(1, min(16, counters // segment)), "seg").mapInArrow(merge, "seg long, n binary")
     out = np.zeros(counters, np.uint32)
     for r in merged.toLocalIterator():  # 4 * counters bytes in all
         out[r[0] * segment : (r[0] + 1) * segment] = np.frombuffer(r[1], np.uint32)
@@ -105,7 +106,7 @@ def _similarity(size: int):
 
 
 #: Up to so many candidate texts (8 bytes each) their keys are broadcast to fetch the texts; beyond it both sides are shuffled.
-BROADCAST_KEYS = 2_000_000
+BROADCAST_KEYS = 500_000
 
 
 def split_overlap(texts: DataFrame, splits: DataFrame, jaccard: float = 0.8, size: int = 3, train: str = "train", held_out: tuple[str, ...] = ("validation", "test")) -> tuple[DataFrame, DataFrame]:
@@ -179,9 +180,20 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    """Held-out texts that the training split has too, per split and source."""
+    """Held-out texts that the training split has too, per split and source; partners are counted over classes, not listed."""
     texts, splits = _texts(spark, d)
-    hit = _pairs(texts, splits).groupBy(F.col("e_key").alias("key")).agg(F.count(F.lit(1)).alias("partners"))
+    links, members = split_overlap(texts, splits)
+    e, t = (members.filter(F.col("side") == s).groupBy("set_a", "set_b", "form").agg(F.count(F.lit(1)).alias("n")) for s in "et")
+    t = t.withColumnRenamed("set_a", "train_a").withColumnRenamed("set_b", "train_b")
+    held = e.select("set_a", "set_b", "form")
+    sizes = t.groupBy("train_a", "train_b").agg(F.sum("n").alias("n"))
+    near = links.select("set_a", "set_b", "train_a", "train_b")
+    by_set = near.join(sizes, ["train_a", "train_b"]).groupBy("set_a", "set_b").agg(F.sum("n").alias("near"))
+    # training texts of the same letters and digits whose term set is not linked already
+    by_form = held.join(t, "form").join(near, ["set_a", "set_b", "train_a", "train_b"], "left_anti").groupBy("set_a", "set_b", "form").agg(F.sum("n").alias("same"))
+    per_class = held.join(by_set, ["set_a", "set_b"], "left").join(by_form, ["set_a", "set_b", "form"], "left")
+    per_class = per_class.select("set_a", "set_b", "form", (F.coalesce("near", F.lit(0)) + F.coalesce("same", F.lit(0))).alias("partners")).filter("partners > 0")
+    hit = members.filter("side = 'e'").join(per_class, ["set_a", "set_b", "form"]).select("key", "partners")
     per = texts.select("key", "record").join(splits, "record").join(hit, "key", "left").filter("split IN ('validation', 'test')")
     return per.groupBy("split", "source_name").agg(F.count(F.lit(1)).alias("texts"), F.count("partners").alias("overlapping"), F.coalesce(F.sum("partners"), F.lit(0)).alias("pairs"))
 

@@ -14,12 +14,13 @@ from corvane.plans.cut import cut
 from corvane.plans.skew import join_per_key
 from corvane.session import table
 
-#: Curves, projected dimensions, bits a dimension, and how far along each curve a vector looks either way; of those
-#: it keeps as many as are asked. Recall of ten neighbours against brute force, when six were kept a curve: 0.993 on
-#: 9,000 vectors, 0.965 on 90,000. Beyond ``FITTED`` points curves grow as the fourth root and windows as the square root.
+#: Curves, projected dimensions, bits a dimension, and how far along each curve a vector looks either way. Beyond
+#: ``FITTED`` vectors a third of the curves is added for every tenfold; the window never grows, so work is n log n.
 CURVES, DIMS, BITS, WINDOW, FITTED = 32, 12, 5, 500, 90_000
 #: Rows of one sorted range; its vectors are multiplied block by block.
 RANGE_ROWS = 20_000
+#: Single precision moves a cosine by less than this.
+MARGIN = 1e-5
 
 
 def hilbert_keys(x: np.ndarray, bits: int) -> np.ndarray:
@@ -79,22 +80,8 @@ def usable(vectors: DataFrame, dim: int) -> DataFrame:
     return vectors.filter(F.col("key").isNotNull() & F.col("vec").isNotNull()).filter(F.coalesce(ok, F.lit(False)))
 
 
-def nearest_vectors(vectors: DataFrame, k: int = 10, dim: int = 64, curves: int | None = None, window: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The ``k`` most similar vectors of every usable vector of ``vectors(key, vec)``.
-
-    Result ``(neighbours, members)``: ``neighbours(key, other, cosine, rank)`` over distinct
-    directions, ``members(key, representative)`` with each usable key's representative, the least
-    key with bit-equal unit vector: a group of copies of any size is one point of every curve.
-    Windows hold vectors in half precision, so ``cosine`` is right to three digits; ``exact_cosine``
-    computes it in double precision. Ties go to the least key.
-
-    Every curve sorts all vectors by their Hilbert key (range partitioning, so a task holds one
-    range whatever the clusters' sizes), each range also gets the next ranges' nearest rows, and each
-    vector is compared with ``window`` vectors either way. Null vectors or keys, null or non-finite
-    elements, other dimensions and zero vectors are left out; repeated rows of a key with the same
-    vector count once; an empty table gives empty results; other columns are ignored.
-    """
-    spark = vectors.sparkSession
+def _points(vectors: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
+    """``points(unit, key, copies)``, one a distinct unit vector under its least key, and ``members(key, representative)``."""
     raw = usable(vectors.select("key", "vec"), dim)
 
     def normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,64 +92,130 @@ def nearest_vectors(vectors: DataFrame, k: int = 10, dim: int = 64, curves: int
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, u.size + 1, dim, dtype=np.int32)), flat)], ["key", "unit"])
 
     units = cut(raw.mapInArrow(normalise, "key long, unit array<float>"))
-    points = units.groupBy("unit").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"))
-    points = cut(points)
+    points = cut(units.groupBy("unit").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("copies")))
     members = join_per_key(units.select("key", "unit"), points.select("unit", F.col("key").alias("representative"), "copies"), "unit", units.count(), "copies").select("key", "representative").distinct()
+    return points, members
+
+
+def _compare(t: pa.Table, dim: int, window: int, k: int | None, least: float, across: bool = False) -> pa.Table:
+    """Pairs ``(key, other, sim)`` of rows at most ``window`` apart on their curve, in order of ``curve, pos, key``.
+
+    With ``k`` each row's ``k`` most similar ones; without it each pair once that reaches ``least``.
+    ``across`` compares only rows of different ``side``.
+    """
+    v = np.frombuffer(b"".join(t.column("unit").to_pylist()), np.float32).reshape(-1, dim)
+    key, curve = t.column("key").to_numpy(), t.column("curve").to_numpy()
+    side = t.column("side").to_numpy() if across else None
+    m, step = len(v), 256
+    left, right, sims = [], [], []
+    for s in range(0, m, step):
+        lo, hi, e = max(0, s - window), min(m, s + step + window), min(m, s + step)
+        sim = v[s:e] @ v[lo:hi].T
+        gap = np.arange(lo, hi)[None, :] - np.arange(s, e)[:, None]
+        out = (gap == 0) | (np.abs(gap) > window) | (curve[s:e, None] != curve[None, lo:hi])
+        if across:
+            out |= side[s:e, None] == side[None, lo:hi]
+        if k is None:
+            a, b = np.nonzero(~out & (gap > 0) & (sim >= least))
+            left.append(key[s:e][a])
+            right.append(key[lo:hi][b])
+            sims.append(sim[a, b])
+            continue
+        sim[out] = -2
+        kk = min(k, hi - lo)
+        top = np.argpartition(-sim, kk - 1, axis=1)[:, :kk]
+        val = np.take_along_axis(sim, top, 1)
+        ok = val > -2
+        left.append(np.repeat(key[s:e], kk)[ok.ravel()])
+        right.append(key[lo:hi][top][ok])
+        sims.append(val[ok])
+    cat = lambda x, d: np.concatenate(x) if x else np.empty(0, d)
+    return pa.table({"key": cat(left, np.int64), "other": cat(right, np.int64), "sim": cat(sims, np.float32)})
+
+
+def curve_pairs(points: DataFrame, dim: int, k: int | None, least: float = -1.0, curves: int | None = None, window: int | None = None) -> DataFrame:
+    """``(key, other, sim)`` of ``points(key, unit)`` that are near each other on a curve, as in ``_compare``; a pair comes once a curve.
+
+    Every curve sorts all points by their Hilbert key (range partitioning, so a task holds one range
+    whatever the clusters' sizes). A range is compared in itself; only its first and last ``window``
+    rows are shuffled again, to be compared across the border of two ranges.
+    """
     n = points.count()
     spread = points.select(F.sqrt(F.avg(F.aggregate(F.zip_with("unit", "unit", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)) / dim)).first()[0] or 1.0
-    growth = max(1.0, n / FITTED)
-    curves, window = curves or round(CURVES * growth**0.25), window or round(WINDOW * growth**0.5)
+    curves = curves or round(CURVES * (1 + np.log10(max(1.0, n / FITTED)) / 3))
+    window = window or WINDOW
     ranges = max(1, -(-n * curves // max(RANGE_ROWS, 8 * window)))
+    schema = "curve int, pos long, key long, unit binary"
+    names = ["curve", "pos", "key", "unit"]
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            flat = np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float32).reshape(-1, dim)
-            half = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * dim), b.num_rows, [None, pa.py_buffer(flat.astype(np.float16).tobytes())]).cast(pa.binary())
+            flat = np.ascontiguousarray(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float32).reshape(-1, dim)
+            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), b.num_rows, [None, pa.py_buffer(flat.tobytes())]).cast(pa.binary())
             for c, pos in enumerate(curve_keys(flat, spread, curves)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pos), c, np.int32)), pa.array(pos), b.column(0), half], ["curve", "pos", "key", "unit"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pos), c, np.int32)), pa.array(pos), b.column(0), raw], names)
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held := list(batches):
+            yield from _compare(pa.Table.from_batches(held), dim, window, k, least).to_batches(max_chunksize=50_000)
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # each range goes on whole, its first rows also to the range before and its last to the one after
         me = TaskContext.get().partitionId()
         held = list(batches)
         if not held:
             return
         t = pa.Table.from_batches(held)
-        for rows, to in ((t, me), (t.slice(0, window), me - 1), (t.slice(max(0, t.num_rows - window)), me + 1)):
-            if 0 <= to < ranges and rows.num_rows:
-                yield from rows.append_column("range", pa.array(np.full(rows.num_rows, to, np.int32))).to_batches(max_chunksize=4000)
-
-    def compare(pdf: pa.Table) -> pa.Table:
-        t = pdf.sort_by([("curve", "ascending"), ("pos", "ascending"), ("key", "ascending")])
-        v = np.frombuffer(b"".join(t.column("unit").to_pylist()), np.float16).reshape(-1, dim).astype(np.float32)
-        key, curve = t.column("key").to_numpy(), t.column("curve").to_numpy()
-        m, step, take = len(v), 256, min(k, 2 * window)
-        left, right, sims = [], [], []
-        for s in range(0, m, step):
-            lo, hi = max(0, s - window), min(m, s + step + window)
-            e = min(m, s + step)
-            sim = v[s:e] @ v[lo:hi].T
-            gap = np.abs(np.arange(s, e)[:, None] - np.arange(lo, hi)[None, :])
-            sim[(gap == 0) | (gap > window) | (curve[s:e, None] != curve[None, lo:hi])] = -2
-            kk = min(take, hi - lo)
-            top = np.argpartition(-sim, kk - 1, axis=1)[:, :kk]
-            val = np.take_along_axis(sim, top, 1)
-            ok = val > -2
-            left.append(np.repeat(key[s:e], kk)[ok.ravel()])
-            right.append(key[lo:hi][top][ok])
-            sims.append(val[ok])
-        cat = lambda x, d: np.concatenate(x) if x else np.empty(0, d)
-        return pa.table({"key": cat(left, np.int64), "other": cat(right, np.int64), "sim": cat(sims, np.float32)})
-
-    keyed_rows = points.select("key", "unit").mapInArrow(keyed, "curve int, pos long, key long, unit binary")
-    sorted_rows = keyed_rows.repartitionByRange(ranges, "curve", "pos", "key").sortWithinPartitions("curve", "pos", "key")
-    near = sorted_rows.mapInArrow(ends, "curve int, pos long, key long, unit binary, range int").groupBy("range").applyInArrow(compare, "key long, other long, sim float")
-    pairs = near.groupBy("key", "other").agg(F.max("sim").alias("sim"))
-    best = pairs.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("s"), "other"))), 1, k).alias("best"))  # at most curves * k entries
-    few = best.select("key", F.posexplode("best").alias("rank", "b")).select("key", F.col("b.other").alias("other"), (-F.col("b.s")).cast("double").alias("cosine"), (F.col("rank") + 1).alias("rank"))
-    return few, members
+        for rows, border, side in ((t.slice(0, window), me - 1, 1), (t.slice(max(0, t.num_rows - window)), me, 0)):
+            if 0 <= border < ranges - 1:
+                for name, x in (("border", border), ("side", side)):
+                    rows = rows.append_column(name, pa.array(np.full(rows.num_rows, x, np.int32)))
+                yield from rows.to_batches(max_chunksize=4000)
+
+    def border(t: pa.Table) -> pa.Table:
+        return _compare(t.sort_by([("curve", "ascending"), ("pos", "ascending"), ("key", "ascending")]), dim, window, k, least, across=True)
+
+    rows = points.select("key", "unit").mapInArrow(keyed, schema).repartitionByRange(ranges, "curve", "pos", "key").sortWithinPartitions("curve", "pos", "key")
+    pairs = "key long, other long, sim float"
+    return rows.mapInArrow(inside, pairs).unionByName(rows.mapInArrow(ends, f"{schema}, border int, side int").groupBy("border").applyInArrow(border, pairs))
+
+
+def nearest_vectors(vectors: DataFrame, k: int = 10, dim: int = 64, curves: int | None = None, window: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The ``k`` most similar vectors of every usable vector of ``vectors(key, vec)``.
+
+    Result ``(neighbours, members)``: ``neighbours(key, other, cosine, rank)`` over distinct
+    directions, ``members(key, representative)`` with each usable key's representative, the least
+    key with bit-equal unit vector: a group of copies of any size is one point of every curve.
+    Windows hold vectors in single precision, so ``cosine`` is right to six digits. Ties go to the
+    least key. Each vector is compared with ``window`` vectors either way on each curve, keeps the
+    ``k`` best of each, and of all of them the ``k`` best.
+
+    Null vectors or keys, null or non-finite elements, other dimensions and zero vectors are left
+    out; repeated rows of a key with the same vector count once; an empty table gives empty results;
+    other columns are ignored.
+    """
+    points, members = _points(vectors, dim)
+    pairs = curve_pairs(points, dim, k, curves=curves, window=window)
+    ranked = pairs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("s"), "other"))).alias("all"))  # at most 2 * curves * k entries
+    ranked = ranked.withColumn("ids", F.transform("all", lambda x: x["other"])).withColumn("best", F.slice(F.array_distinct("ids"), 1, k))
+    few = ranked.select("key", "all", "ids", F.posexplode("best").alias("rank", "other"))
+    sim = -F.get("all", F.array_position("ids", F.col("other")).cast("int") - 1)["s"]
+    return few.select("key", "other", sim.cast("double").alias("cosine"), (F.col("rank") + 1).alias("rank")), members
+
+
+def similar_vectors(vectors: DataFrame, least: float = 0.95, dim: int = 64, curves: int | None = None, window: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Links ``(key, other, cosine)``, ``key < other``, between distinct directions with a cosine of at least ``least``, and ``members`` as above.
+
+    A vector may have any number of partners: all that its windows hold come out, none by rank.
+    Cosines are computed in double precision. In a group of more vectors than a window holds that are
+    all this similar, links can be missing; each curve sees the group in another order.
+    """
+    points, members = _points(vectors, dim)
+    near = curve_pairs(points, dim, None, least - MARGIN, curves, window)
+    links = near.select(F.least("key", "other").alias("key_a"), F.greatest("key", "other").alias("key_b")).distinct()
+    of = usable(vectors.select("key", "vec"), dim).dropDuplicates(["key"])
+    return exact_cosine(of, links).filter(F.col("cosine") >= least).select(F.col("key_a").alias("key"), F.col("key_b").alias("other"), "cosine"), members
 
 
 def exact_cosine(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -198,15 +251,11 @@ def p2_members(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of vectors with a cosine of 0.95 or more."""
-    vectors = _vectors(spark, d)
-    few, members = nearest_vectors(vectors)
+    links, members = similar_vectors(_vectors(spark, d))
     m = cut(members)
-    near = few.filter("cosine >= 0.948")  # half precision moves a cosine by up to 0.001
-    links = near.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
-    pairs = links.join(m.select(F.col("representative").alias("a"), F.col("key").alias("x")), "a").join(m.select(F.col("representative").alias("b"), F.col("key").alias("y")), "b").select("x", "y")
+    pairs = links.join(m.select(F.col("representative").alias("key"), F.col("key").alias("x")), "key").select("x", "other").join(m.select(F.col("representative").alias("other"), F.col("key").alias("y")), "other").select("x", "y")
     copies = m.alias("p").join(m.alias("q"), F.col("p.representative") == F.col("q.representative")).filter("p.key < q.key").select(F.col("p.key").alias("x"), F.col("q.key").alias("y"))
-    all_pairs = pairs.unionByName(copies).select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
-    return exact_cosine(usable(vectors, 64), all_pairs).filter("cosine >= 0.95").select("key_a", "key_b")
+    return pairs.unionByName(copies).select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
 
 
 SQL = {
