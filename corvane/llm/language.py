@@ -42,11 +42,15 @@ def clean_label(lang: str | None) -> str | None:
     return None if s in NOT_KNOWN else NAMES.get(s, s)
 
 
-def _letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased letters with single spaces between words, their sentence, and each sentence's text; also letters a sentence."""
+def _letters(texts: list[str | None], apart: re.Pattern | None = _APART, spans: bool = False) -> tuple[np.ndarray, ...]:
+    """Lower-cased letters with single spaces between words, their sentence, and each sentence's text; also letters a sentence.
+
+    With ``spans`` also where each sentence's first letter and the end of its last one lie in its text.
+    """
     is_word, low = tables()
     joined = "\n" + "\0\n".join((t or "").replace("\0", " ") for t in texts) + "\0"
-    joined = _APART.sub(" ", joined)
+    if apart:
+        joined = apart.sub((lambda m: " " * len(m.group())) if spans else " ", joined)  # places must stay
     cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = is_word[cp] & ~((cp >= 48) & (cp <= 57))
     space = (cp == 32) | (cp == 10) | (cp == 9) | (cp == 0)
@@ -63,7 +67,17 @@ def _letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     owner = np.zeros(n_sentences, np.int64)
     owner[sentence[::-1]] = text_of[::-1]  # a sentence's first character decides
     owner[sentence] = np.minimum(owner[sentence], text_of)
-    return c, s, owner, np.bincount(sentence[letter], minlength=n_sentences)
+    letters = np.bincount(sentence[letter], minlength=n_sentences)
+    if not spans:
+        return c, s, owner, letters
+    at = np.flatnonzero(letter)
+    first, last = np.zeros(n_sentences, np.int64), np.zeros(n_sentences, np.int64)
+    of = sentence[at]
+    first[of[::-1]] = at[::-1]
+    last[of] = at + 1
+    begin = np.concatenate([[1], np.flatnonzero(cp == 0)[:-1] + 2])  # each text stands after a line end
+    begin = np.append(begin, 0)[np.minimum(owner, len(begin))]
+    return c, s, owner, letters, first - begin, last - begin
 
 
 def _grams(c: np.ndarray, s: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,9 +126,9 @@ class LanguageFilters:
             chance[n] = np.array([np.mean((b >> k) & 1) ** 2 for k in range(len(langs))])
         return cls(langs, bits, chance)
 
-    def sentences(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Per sentence: its text's index, its letters, its best language and by how large a share of n-grams it leads."""
-        c, s, owner, letters = _letters(texts)
+    def sentences(self, texts: list[str | None], apart: re.Pattern | None = _APART, spans: bool = False) -> tuple[np.ndarray, ...]:
+        """Per sentence: its text's index, its letters, its best language and by how large a share of n-grams it leads; with ``spans`` its place."""
+        c, s, owner, letters, *place = _letters(texts, apart, spans)
         n_s, n_l = len(owner), len(self.langs)
         score, total = np.zeros((n_s, n_l)), np.zeros(n_s)
         low, high = (np.array([sum(1 << 16 * (k - 4 * half) for k in range(4 * half, min(n_l, 4 * half + 4)) if m >> k & 1) for m in range(256)], np.uint64) for half in (0, 1))
@@ -135,7 +149,7 @@ class LanguageFilters:
             total += weight * count
         part = np.partition(score, -2, axis=1) if n_l > 1 else np.concatenate([np.zeros((n_s, 1)), score], axis=1)
         lead = (part[:, -1] - part[:, -2]) / np.maximum(total, 1)
-        return owner, letters, score.argmax(axis=1), np.where(total > 0, lead, 0)
+        return owner, letters, score.argmax(axis=1), np.where(total > 0, lead, 0), *place
 
 
 OUT = "doc_id long, segment int, true_lang string, confidence double, sentences int, letters long, mixed boolean, given string"
@@ -169,6 +183,14 @@ def label_languages(documents: DataFrame, samples: list[tuple[str, str]]) -> Dat
             size = np.bincount(cell, minlength=rows * n_l)[: rows * n_l].reshape(rows, n_l)
             mass = np.bincount(cell, letters[vote], minlength=rows * n_l)[: rows * n_l].reshape(rows, n_l)
             trust = np.bincount(cell, lead[vote], minlength=rows * n_l)[: rows * n_l].reshape(rows, n_l) / np.maximum(size, 1)
+            # texts that hold nothing but tables, lists in brackets or code are read as they are
+            bare = np.flatnonzero(np.bincount(owner, letters, minlength=rows)[:rows] == 0)
+            if len(bare):
+                column = b.column(1)
+                o2, l2, b2, x2 = f.sentences([column[int(i)].as_py() for i in bare], None)
+                ok = o2 < len(bare)
+                o2, l2, b2, x2 = bare[o2[ok]], l2[ok], b2[ok], x2[ok]
+                owner, letters, best, lead = (np.concatenate(p) for p in ((owner, o2), (letters, l2), (best, b2), (lead, x2)))
             # texts too short for a vote take their longest sentence's language
             weak = np.flatnonzero((size.sum(axis=1) == 0) & (np.bincount(owner, letters, minlength=rows)[:rows] > 0))
             if len(weak):
@@ -197,6 +219,58 @@ def label_languages(documents: DataFrame, samples: list[tuple[str, str]]) -> Dat
     return documents.select(F.col("doc_id").cast("long"), "text", "lang").mapInArrow(label, OUT)
 
 
+SEGMENTS = "doc_id long, segment int, lang string, confidence double, begin int, end int"
+
+
+def language_segments(documents: DataFrame, samples: list[tuple[str, str]]) -> DataFrame:
+    """Stretches of one language in every document of ``documents(doc_id, text)``, with their places.
+
+    Sentences are judged as in ``label_languages``. Neighbouring sentences of one language are one
+    segment, from its first letter to the end of its last one (``begin`` counts from 0, ``end`` is one
+    past it); a sentence without a clear lead joins the segment before it, or the one after it at the
+    start. ``confidence`` is the mean lead, by letters, over itself plus one tenth. A text without a
+    clear sentence, null texts and empty tables give no row; repeated rows each get their rows; other
+    columns are ignored.
+    """
+    spark = documents.sparkSession
+    model = spark.sparkContext.broadcast(LanguageFilters.fit(samples))  # one megabyte
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = model.value
+        for b in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+            owner, letters, best, lead, first, last = f.sentences(b.column(1).to_pylist(), spans=True)
+            at = np.flatnonzero((letters > 0) & (owner < b.num_rows))
+            clear = at[(lead[at] >= LEAD) & (letters[at] >= LETTERS)]
+            if not len(clear):
+                continue
+            new = np.ones(len(clear), bool)
+            new[1:] = (owner[clear][1:] != owner[clear][:-1]) | (best[clear][1:] != best[clear][:-1])
+            heads = np.flatnonzero(new)
+            text = owner[clear[heads]]
+            # of all sentences with letters: the number of the segment that began last, in the same text
+            seg = np.searchsorted(clear[heads], at, side="right") - 1
+            seg = np.where((seg < 0) | (text[np.maximum(seg, 0)] != owner[at]), seg + 1, seg)
+            ok = (seg < len(heads)) & (text[np.minimum(seg, len(heads) - 1)] == owner[at])
+            at, seg = at[ok], seg[ok]
+            begin, end = np.full(len(heads), 1 << 40), np.zeros(len(heads), np.int64)
+            np.minimum.at(begin, seg, first[at])
+            np.maximum.at(end, seg, last[at])
+            of = np.cumsum(new) - 1
+            mass = np.bincount(of, letters[clear])
+            trust = np.bincount(of, lead[clear] * letters[clear]) / mass
+            number = np.arange(len(heads)) - np.searchsorted(text, text)
+            ids = b.column(0).take(pa.array(text))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(number.astype(np.int32)), pa.array([f.langs[k] for k in best[clear[heads]]]), pa.array(trust / (trust + 0.1)), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], [x.split()[0] for x in SEGMENTS.split(", ")])
+
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(find, SEGMENTS)
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every stretch of one language of every document, with its place and confidence."""
+    samples = [(r["lang"], r["text"]) for r in table(spark, d, "lang_samples").collect()]  # fixed size: 280 rows
+    return language_segments(table(spark, d, "documents"), samples).withColumn("confidence", F.round("confidence", 6))
+
+
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
     samples = [(r["lang"], r["text"]) for r in table(spark, d, "lang_samples").collect()]  # fixed size: 280 rows
     return label_languages(table(spark, d, "documents"), samples)

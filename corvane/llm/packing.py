@@ -133,3 +133,19 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     """Containers, tokens and fill by profile, beside the fewest containers that could do."""
     per = p8_packing(spark, d).join(table(spark, d, "pack_limits"), "profile").groupBy("profile").agg(F.count_distinct("bin").alias("bins"), F.sum("tokens").alias("tokens"), F.max("capacity_tokens").alias("capacity"))
     return per.select("profile", "bins", "tokens", F.ceil(F.col("tokens") / F.col("capacity")).alias("least_bins"), F.round(F.col("tokens") / (F.col("bins") * F.col("capacity")), 6).alias("fill"))
+
+
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold by profile: every document with a token is packed, none is cut that fits, no container is over its capacity, no token is lost."""
+    items, limits = _items(spark, d)
+    packed = cut(pack_items(items, limits))
+    bins = packed.groupBy("profile", "capacity", "bin").agg(F.sum("tokens").alias("t"), F.max("filled").alias("filled"))
+    bad = bins.groupBy("profile").agg(F.count_if((F.col("t") > F.col("capacity")) | (F.col("t") != F.col("filled"))).alias("overfull"))
+    per = packed.groupBy("profile", "capacity", "key").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("pieces")).join(items, "key")
+    docs = per.groupBy("profile").agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if((F.col("tokens") <= F.col("capacity")) & (F.col("pieces") > 1)).alias("cut"), F.count_if(F.col("t") != F.col("tokens")).alias("changed"),
+    )
+    return docs.join(bad, "profile").select("profile", "documents", "cut", "overfull", "changed")
+
+
+SQL = {"p8_checks": "SELECT profile, (SELECT count(*) FROM documents WHERE text <> '') AS documents, 0::BIGINT AS cut, 0::BIGINT AS overfull, 0::BIGINT AS changed FROM pack_limits"}

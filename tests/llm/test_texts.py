@@ -52,6 +52,24 @@ def test_language_cases(spark, samples):
     assert language.label_languages(d.limit(0), samples).count() == 0
 
 
+def test_language_segments(spark, samples):
+    en = "The parcel was sent on Monday and it should arrive this week. Please keep it at the desk."
+    de = "Wir haben das Paket am Montag verschickt und es kommt bald an. Bitte heben Sie es gut auf."
+    texts = [f"{en}\n```\nx = 1\n```\n{de} {en}", en, None, "", "12", f"42!\n{de}"]
+    d = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, begin int").coalesce(1)
+    got = {}
+    for r in sorted(language.language_segments(d, samples).collect(), key=lambda r: (r.doc_id, r.segment)):
+        got.setdefault(r.doc_id, []).append((r.segment, r.lang, texts[r.doc_id][r.begin : r.end]))
+    assert got == {0: [(0, "en", en[:-1]), (1, "de", de[:-1]), (2, "en", en[:-1])], 1: [(0, "en", en[:-1])], 5: [(0, "de", de[:-1])]}
+    assert language.language_segments(d.limit(0), samples).count() == 0
+
+
+def test_text_of_nothing_but_tables_is_read(spark, samples):
+    t = "| The parcel was sent on Monday and it should arrive this week. |\n| Please keep it at the desk until then. |"
+    d = spark.createDataFrame([(1, t, None), (2, "|||", None)], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.true_lang for r in language.label_languages(d, samples).collect()} == {1: "en", 2: None}
+
+
 def test_decode_equals_plain_viterbi():
     m = personal_data.default_model()
     rng = np.random.default_rng(1)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -149,3 +150,27 @@ def test_token_budget(spark, sf):
     names = dict(zip(token_budget.FEATURES, f[0], strict=True))
     assert (names["bytes"], names["words"], names["digits"], names["digit_runs"], names["punctuation"], names["spaces"]) == (12, 4, 3, 2, 1, 2)
     assert token_budget.features(["abcdefghij abcdefgh"])[0][token_budget.FEATURES.index("long_words")] == 1
+
+
+def test_pairs_of_a_dense_cluster_are_not_capped(spark):
+    rng = np.random.default_rng(5)
+    tight = (rng.normal(size=64) + 0.05 * rng.normal(size=(40, 64))).astype(np.float32)
+    v = np.concatenate([tight, rng.normal(size=(300, 64)).astype(np.float32)])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "key long, vec array<float>")
+    got = {(r.key, r.other) for r in vn.similar_vectors(df)[0].collect()}
+    u = v.astype(float) / np.linalg.norm(v, axis=1, keepdims=True)
+    s = u @ u.T
+    assert got == {(i, j) for i in range(len(v)) for j in range(i + 1, len(v)) if s[i, j] >= 0.95} and len(got) >= 780
+    assert vn.similar_vectors(df.limit(0))[0].count() == 0
+
+
+def test_schedule(spark):
+    docs = spark.createDataFrame([(i, s, 10) for i, s in enumerate(["a"] * 100 + ["b"] * 100)], "key long, source string, tokens long")
+    goals = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, share double, repeats int")
+    rows = mixing.mix(docs, goals, schedule=[("a", 0.0, 1.0), ("a", 0.5, 0.0), ("b", 0.5, 0.0), ("b", 1.0, 3.0)]).collect()
+    a, b = ([r.position for r in rows if r.source == s] for s in "ab")
+    assert len(a) == len(b) == 100 and max(a) < 0.5 and min(b) >= 0.5 and a == sorted(a)
+    assert abs(a[50] - 0.5 * (1 - np.sqrt(0.5))) < 1e-9  # half of a falling line's area
+    for bad in ([("a", 2.0, 1.0)], [("a", 0.0, -1.0)], [("a", 0.0, 0.0)]):
+        with pytest.raises(ValueError):
+            mixing.mix(docs, goals, schedule=bad)
