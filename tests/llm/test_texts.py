@@ -172,7 +172,25 @@ def test_endings_are_counted_exactly(spark, samples):
 
 def test_sentence_counts_brute_force(spark):
     texts = ["One two three four. One two", "one two three four. One two three", "One two", None, "Other words here."] * 3
-    hs = {w: ad._signed(ad._hashes(w.split())[-1]) for w in ("one", "one two", "one two three", "one two three four", "never seen")}
-    asked = spark.createDataFrame([(h,) for h in hs.values()], "h long")
-    got = {r.h: (r.goes_on, r.whole, r.final) for r in ad.sentence_counts(spark.createDataFrame([(t,) for t in texts], "text string"), asked, len(hs)).collect()}
+    words = ("one", "one two", "one two three", "one two three four")
+    hs = {w: ad.last_sentences([w])[0][0][0] for w in words} | {"never seen": 5}
+    tails = {w: ad.last_sentences([f"so {w}"])[0][0][4 - n] for n, w in enumerate(("four", "three four", "two three four"))}
+    asked = spark.createDataFrame([(h,) for h in (hs | tails).values()], "h long")
+    got = {r.h: (r.goes_on, r.whole, r.final) for r in ad.sentence_counts(spark.createDataFrame([(t,) for t in texts], "text string"), asked, 8).collect()}
     assert {k: got.get(h, (0, 0, 0)) for k, h in hs.items()} == {"one": (15, 0, 0), "one two": (9, 0, 6), "one two three": (6, 0, 3), "one two three four": (0, 6, 0), "never seen": (0, 0, 0)}
+    assert {k: got.get(h, (0, 0, 0)) for k, h in tails.items()} == {w: (0, 6, 0) for w in tails}
+
+
+def test_sentences():
+    texts = ["1. Update: The big Parcel is here (now).\n- And \"more\" of it", "```\nx. y\n```", None, "", "…", "It's 12 o'clock! Go", "A: b"]
+    s = ad.sentences(texts)
+    rows = [(int(o), bool(e), int(b - a)) for o, e, a, b in zip(s.owner, s.ended, s.first[:-1], s.first[1:], strict=True)]
+    assert rows == [(0, True, 6), (0, False, 4), (5, True, 3), (5, False, 1), (6, False, 1)]
+    one = ad.last_sentences(["The Ann is in Rome", "the Bob is in Oslo", "the bob is in oslo", "the Bob is in 12"])
+    assert one[0] == one[1] and len({x[0][0] for x in one}) == 3 and [x[2] for x in one] == [False, False, True, False]
+
+
+def test_refusals_in_other_words():
+    yes = ["Sorry, I simply cannot assist you here.", "I'm not in a position to comment on that.", "Dazu kann ich Ihnen leider keinerlei Auskunft geben.", "Je ne suis malheureusement pas habilité à vous répondre.", "No estoy en condiciones de contestar a eso.", "Purtroppo non sono in grado di fornire queste informazioni.", "Não consigo responder a esse pedido.", "Ik kan u daar helaas niets over zeggen."]
+    no = ["I can help you with that on Monday.", "The desk cannot answer the phone at noon.", "Die Filiale hilft Ihnen nicht am Sonntag, aber online geht es.", "Nous vous aidons dès lundi.", "El plan no incluye los envíos.", "Non serve altro, il pacco arriva lunedì.", "O plano não inclui os envios.", "De winkel is niet open op maandag."]
+    assert [ad.is_refusal(t) for t in yes] == [True] * len(yes) and [ad.is_refusal(t) for t in no] == [False] * len(no)
