@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,15 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.kernels import code_points, mix, powers, tables
-from corvane.llm.personal_examples import GIVEN, labelled_examples
+from corvane.llm.personal_examples import FAMILY, GIVEN, TYPES, labelled_examples
 from corvane.session import table
 
-LABELS = ("O", "email", "phone", "id_number", "address", "name")
+#: No item, and for each type a token that begins an item and one that goes on with it.
+LABELS = ("O", *(f"{b}-{t}" for t in TYPES for b in "BI"))
 OFFSETS = (-4, -3, -2, -1, 0, 1, 2, 3)
-#: Labelled sequences the model is fitted on, passes over them, and step size.
-EXAMPLES, EPOCHS, STEP = 6000, 8, 0.25
-
-_EMAIL = re.compile(r"[\w.%+'-]+(?:[ ]?(?:@|\(at\)|\[at\])[ ]?| at )[\w-]+(?:(?:\.|[ ]dot[ ]|[ ]?\(dot\)[ ]?|[ ]?\[dot\][ ]?)[\w-]+)+", re.I)
+#: Labelled texts the model is fitted on, passes over them, step size, texts a step, and by what part of itself a weight shrinks.
+EXAMPLES, EPOCHS, STEP, BATCH, SHRINK = 24_000, 7, 0.2, 200, 0.008
+#: A feature that fewer tokens of the examples have is left out, as invented words leave many.
+LEAST = 25
+#: Where the fitted weights are kept, under a digest of what they were fitted on.
+WEIGHTS = Path(__file__).with_name("personal_model.npz")
+#: Islands are decoded together as long as their tokens, padded to the longest, are no more than this.
+CELLS = 1 << 20
 
 
 def token_bounds(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,6 +53,11 @@ def _given() -> frozenset[str]:
     return frozenset(x.lower() for x in GIVEN)
 
 
+@cache
+def _family() -> frozenset[str]:
+    return frozenset(x.lower() for x in FAMILY)
+
+
 def word_features(w: str) -> list[str]:
     """Features of one token: itself, shape, ends, digits."""
     low = w.lower()
@@ -66,6 +78,8 @@ def word_features(w: str) -> list[str]:
             out.append("one")
         if low in _given():
             out.append("given")
+        if low in _family():
+            out.append("family")
         if w.isupper() and len(w) > 1:
             out.append("upper")
         elif w[0].isupper():
@@ -73,20 +87,83 @@ def word_features(w: str) -> list[str]:
     return out
 
 
+#: Classes of tokens, of which three in a row are a feature: beyond the text, on another line, marks, digits by number, words by case.
+MARKS = ".,@()-+/:;#_[]\"'|"
+_DIGITS, _WORDS = 3 + len(MARKS), 13 + len(MARKS)
+CLASSES = _WORDS + 13
+
+
+def word_class(w: str) -> int:
+    """The class of one token."""
+    if not w[0].isalnum():
+        return 3 + MARKS.index(w) if w in MARKS else 3 + MARKS.index("'") if w == "’" else 2
+    digits = sum(c.isdigit() for c in w)
+    if digits == len(w):
+        return _DIGITS + min(digits, 10) - 1
+    if digits:
+        return _WORDS + (0 if w[0].isalpha() else 1 if len(w) <= 4 and digits == len(w) - 1 else 2)
+    case = 1 if w.isupper() else 2 if w[0].isupper() else 0
+    if len(w) == 1:
+        return _WORDS + 3 + bool(case)
+    if w.lower() in _given():
+        return _WORDS + 5 + case
+    if w.lower() in _family():
+        return _WORDS + 8
+    return _WORDS + 9 + (3 if not case and len(w) <= 3 else case)
+
+
+def in_threes(c: np.ndarray, owner: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """(3, token) numbers of the classes of a token and two before it, one at either side, and two after it."""
+    n = len(c)
+
+    def at(o: int) -> np.ndarray:
+        i = np.clip(np.arange(n) + o, 0, max(n - 1, 0))
+        out = np.where(owner[i] != owner, 0, np.where(line[i] != line, 1, c[i]))
+        if o < 0:
+            out[: min(-o, n)] = 0
+        elif o:
+            out[max(n - o, 0) :] = 0
+        return out
+
+    a, b, d, e = at(-2), at(-1), at(1), at(2)
+    return np.stack([(a * CLASSES + b) * CLASSES + c, (b * CLASSES + c) * CLASSES + d, (c * CLASSES + d) * CLASSES + e])
+
+
 class Crf:
-    """Weights of a chain over ``LABELS``: per offset and word feature, per gap before a token, and per label pair."""
+    """Weights of a chain over ``LABELS``: per offset and word feature, per gap before a token, per three classes, and per label pair."""
 
-    def __init__(self, index: dict[str, int], words: np.ndarray, gaps: np.ndarray, steps: np.ndarray):
-        self.index, self.words, self.gaps, self.steps = index, words, gaps, steps
+    def __init__(self, index: dict[str, int], words: np.ndarray, gaps: np.ndarray, steps: np.ndarray, threes: np.ndarray, three_weights: np.ndarray):
+        self.index, self.words, self.gaps, self.steps, self.threes, self.three_weights = index, words, gaps, steps, threes, three_weights
+        self.row_of = np.zeros(3 * CLASSES**3, np.int32)  # threes that were not seen take the zero row
+        self.row_of[threes] = np.arange(len(threes)) + 1
+        self.of_three = np.concatenate([np.zeros((1, len(LABELS)), np.float32), three_weights])
         self.known = np.empty(0, np.uint64)
         self.scores = np.empty((0, len(OFFSETS) * len(LABELS)), np.float32)
+        self.kinds = np.empty(0, np.int64)
 
     def __getstate__(self) -> dict:
-        return {"index": self.index, "words": self.words, "gaps": self.gaps, "steps": self.steps}
+        return {k: getattr(self, k) for k in ("index", "words", "gaps", "steps", "threes", "three_weights")}
 
     def __setstate__(self, s: dict) -> None:
         self.__init__(**s)
 
+    def save(self, path: Path, digest: str) -> None:
+        """As a file of half-precision numbers."""
+        half = {k: v.astype(np.float16) for k, v in (("words", self.words), ("gaps", self.gaps), ("steps", self.steps), ("three_weights", self.three_weights))}
+        np.savez_compressed(path, digest=np.array(digest), index=np.array("\n".join(sorted(self.index, key=self.index.get))), threes=self.threes.astype(np.int32), **half)
+
+    @classmethod
+    def load(cls, path: Path, digest: str) -> Crf | None:
+        """The weights of a file; None where there is none or it was fitted on something else."""
+        try:
+            with np.load(path) as f:
+                if str(f["digest"]) != digest:
+                    return None
+                index = {x: i for i, x in enumerate(str(f["index"]).split("\n"))}
+                return cls(index, *(f[k].astype(np.float32) for k in ("words", "gaps", "steps")), f["threes"], f["three_weights"].astype(np.float32))
+        except (OSError, KeyError):
+            return None
+
     def word_scores(self, words: list[str]) -> np.ndarray:
         """(word, offset * label) sums of feature weights."""
         rows, cols = [], []
@@ -110,16 +187,20 @@ class Crf:
         pos = np.searchsorted(self.known, uniq)
         new = np.flatnonzero((pos >= len(self.known)) | (self.known[np.minimum(pos, max(len(self.known) - 1, 0))] != uniq) if len(self.known) else np.ones(len(uniq), bool))
         if len(new):
-            s = self.word_scores([text[start[i] : end[i]] for i in at[new]])
-            if len(self.known) > 400_000:
-                self.known, self.scores = self.known[:0], self.scores[:0]
+            new_words = [text[start[i] : end[i]] for i in at[new]]
+            s = self.word_scores(new_words)
+            if len(self.known) > 200_000:
+                self.known, self.scores, self.kinds = self.known[:0], self.scores[:0], self.kinds[:0]
                 return self.emissions(text, cp, start, end, h, owner)
             order = np.argsort(np.concatenate([self.known, uniq[new]]), kind="stable")
             self.known = np.concatenate([self.known, uniq[new]])[order]
             self.scores = np.concatenate([self.scores, s])[order]
+            self.kinds = np.concatenate([self.kinds, np.array([word_class(w) for w in new_words], np.int64)])[order]
         row = np.searchsorted(self.known, uniq)[kind]
         n, k = len(h), len(LABELS)
         e = self.gaps[gap_before(cp, start)].astype(np.float32)
+        for i, three in enumerate(in_threes(self.kinds[row], owner, np.cumsum(cp == 10)[start])):
+            e += self.of_three[self.row_of[three + i * CLASSES**3]]
         nxt = np.zeros(n, np.int64)
         if n:
             nxt[:-1] = np.where(owner[1:] == owner[:-1], gap_before(cp, start)[1:], 0)
@@ -157,9 +238,12 @@ class Crf:
         after = np.where(~last[ends], 1, 0)
         order = np.argsort(-lengths, kind="stable")
         lengths, begins, before, after = lengths[order], begins[order], before[order], after[order]
-        for s in range(0, len(order), 4096):
-            ln, b0, bf, af = (x[s : s + 4096] for x in (lengths, begins, before, after))
-            width = int(ln[0])
+        s = 0
+        while s < len(order):
+            width = int(lengths[s])
+            stop = s + max(1, min(4096, CELLS // width))
+            ln, b0, bf, af = (x[s:stop] for x in (lengths, begins, before, after))
+            s = stop
             back = np.zeros((width, len(ln), len(LABELS)), np.int8)
             score = e[b0] + bf[:, None] * t[0]
             alive = len(ln)
@@ -203,43 +287,52 @@ def fit(examples: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = EP
             ids.append(words[w])
         y = np.zeros(len(start), np.int64)
         for a, b, label in spans:
-            y[(start >= a) & (start < b)] = LABELS.index(label)
+            at = np.flatnonzero((start >= a) & (start < b))
+            y[at] = LABELS.index(f"I-{label}")
+            y[at[:1]] = LABELS.index(f"B-{label}")
         g = gap_before(cp, start)
-        seqs.append((np.array(ids, np.int64), y, g, np.append(g[1:], 0)))
+        c = np.array([word_class(text[a:b]) for a, b in zip(start, end, strict=True)], np.int64)
+        three = in_threes(c, np.zeros(len(c), int), np.cumsum(cp == 10)[start]) + np.arange(3)[:, None] * CLASSES**3
+        seqs.append((np.array(ids, np.int64), y, g, np.append(g[1:], 0), three))
     feats = [word_features(w) for w in types]
     seen: dict[str, int] = {}
     for ids, *_ in seqs:
         for i in ids:
             for f in feats[i]:
                 seen[f] = seen.get(f, 0) + 1
-    index = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= 3))}
+    index = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= LEAST))}
     per = [[index[f] for f in fs if f in index] for fs in feats]
     flat = np.array([i for p in per for i in p])
     owner = np.repeat(np.arange(len(per)), [len(p) for p in per])
     m = len(OFFSETS) * k
-    w, gaps, steps = np.zeros((len(index), m)), np.zeros((8, k)), np.zeros((k, k))
-    sq = [np.full(x.shape, 1e-2) for x in (w, gaps, steps)]
+    threes, times = np.unique(np.concatenate([q[4].ravel() for q in seqs]), return_counts=True)
+    threes = threes[times >= 3]
+    seqs = [(*q[:4], np.where(np.isin(q[4], threes), np.searchsorted(threes, q[4]), len(threes))) for q in seqs]
+    w, gaps, steps, tri = (np.zeros(n, np.float32) for n in ((len(index), m), (8, k), (k, k), (len(threes) + 1, k)))
+    sq = [np.full(x.shape, 1e-2, np.float32) for x in (w, gaps, steps, tri)]
     rng = np.random.default_rng(7)
     for epoch in range(epochs):
         order = rng.permutation(len(seqs))
-        for s in range(0, len(order), 200):
-            part = [seqs[i] for i in order[s : s + 200]]
+        for s in range(0, len(order), BATCH):
+            part = [seqs[i] for i in order[s : s + BATCH]]
             part.sort(key=lambda x: -len(x[0]))
             width, count = len(part[0][0]), len(part)
             used, local = np.unique(np.concatenate([p[0] for p in part]), return_inverse=True)
             ids = np.full((count, width), -1)
             y, g, g2 = np.zeros((count, width), int), np.zeros((count, width), int), np.zeros((count, width), int)
+            th = np.full((3, count, width), len(threes))
             at = 0
             for r, p in enumerate(part):
                 n = len(p[0])
                 ids[r, :n], y[r, :n], g[r, :n], g2[r, :n] = local[at : at + n], p[1], p[2], p[3]
+                th[:, r, :n] = p[4]
                 at += n
             real = ids >= 0
             mask = np.isin(owner, used)
             rows, cols = np.searchsorted(used, owner[mask]), flat[mask]
-            score = np.zeros((len(used) + 1, m))
+            score = np.zeros((len(used) + 1, m), np.float32)
             np.add.at(score, rows, w[cols])
-            e = gaps[g] + gaps[4 + g2]
+            e = gaps[g] + gaps[4 + g2] + tri[th].sum(axis=0)
             for j, o in enumerate(OFFSETS):
                 lo, hi = max(0, -o), min(width, width - o)
                 if lo < hi:
@@ -278,57 +371,35 @@ def fit(examples: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = EP
             gg = np.zeros_like(gaps)
             np.add.at(gg, g[real], diff[real])
             np.add.at(gg, 4 + g2[real], diff[real])
-            for param, grad, acc in ((w, gw - 0.02 * w, sq[0]), (gaps, gg, sq[1]), (steps, pair, sq[2])):
+            gt = np.zeros_like(tri)
+            for x in th:
+                np.add.at(gt, x[real], diff[real])
+            gt[-1] = 0
+            for param, grad, acc in ((w, gw - SHRINK * w, sq[0]), (gaps, gg, sq[1]), (steps, pair, sq[2]), (tri, gt - SHRINK * tri, sq[3])):
                 acc += grad * grad
                 param += step * grad / np.sqrt(acc)
-    return Crf(index, w.astype(np.float32), gaps.astype(np.float32), steps.astype(np.float32))
+    return Crf(index, w, gaps, steps.astype(np.float32), threes, tri[:-1])
 
 
-def _exact(kind: str, text: str, a: int, b: int) -> list[tuple[int, int]]:
-    """Ends of the item that a decoded span names, checked against what an item of its type must hold."""
-    s = text[a:b]
+def _holds(kind: str, s: str) -> bool:
+    """Whether a decoded item has what any item of its type has."""
+    digits = sum(c.isdigit() for c in s)
     if kind == "email":
-        lo = max(0, a - 60)
-        return [m.span() for m in _EMAIL.finditer(text, lo, min(len(text), b + 60)) if m.start() < b and m.end() > a]
+        return "@" in s or bool(re.search(r"\bat\b", s, re.I))
     if kind == "phone":
-        while a and (text[a - 1].isdigit() or text[a - 1] in "+(" or (text[a - 1] in "-./" and a > 1 and text[a - 2].isdigit())):
-            a -= 1
-        while m := re.match(r"[ .]\d{2}(?![\w])", text[b:]) if re.search(r"\D\d{2}$", text[a:b]) else re.match(r"[-./]?\d+", text[b:]):
-            b += m.end()  # the rest of its groups
-        out = []
-        for m in re.finditer(r"(?<!\w)(?:\+|\()?\d(?:[^+\n]*\d)?", text[a:b]):
-            if 7 <= sum(c.isdigit() for c in m.group()) <= 17:
-                out.append((a + m.start(), a + m.end()))
-        return out
+        return 7 <= digits <= 17
     if kind == "id_number":
-        while a and (text[a - 1].isalnum() or (text[a - 1] in "-./" and a > 1 and text[a - 2].isalnum())):
-            a -= 1
-        b += re.match(r"(?:[-./]?[^\W_]+)*", text[b:]).end() if text[b - 1 : b].isalnum() else 0
-        s = text[a:b]
-        m = re.search(r"\w(?:.*\w)?(?:-\w)?", s, re.S)
-        return [(a + m.start(), a + m.end())] if m and sum(c.isdigit() for c in s) >= 5 else []
+        return digits >= 5
     if kind == "address":
-        if m := re.match(r" (?:Street|St|Road|Rd|Lane|Drive|Court|Avenue|Ave|Close|Way)\b", text[b:]):
-            b += m.end()
-            s = text[a:b]
-        m = re.search(r"\w(?:.*\w)?", s, re.S)
-        return [(a + m.start(), a + m.end())] if m and re.search(r"\d", s) and re.search(r"[^\W\d]{3}", s) else []
-    out = []
-    words = list(re.finditer(r"[\w'’-]+", s))
-    cuts = [0]
-    for x, y in zip(words, words[1:], strict=False):  # where a sentence ends or the next given name follows a full name
-        gap = s[x.end() : y.start()]
-        if ("." in gap and len(x.group()) > 1) or (y.group().lower() in _given() and "," not in gap and x.start() > cuts[-1] and len(x.group()) > 1 and x.group().lower() not in _given()):
-            cuts.append(y.start())
-    for x, y in zip(cuts, [*cuts[1:], len(s)], strict=True):
-        m = re.search(r"[^\W\d_](?:.*[^\W\d_])?", s[x:y], re.S)
-        if m and not re.search(r"\d", m.group()) and re.search(r"[^\W\d_]{2}", m.group()) and re.search(r"\w\W+\w", m.group()):
-            out.append((a + x + m.start(), a + x + m.end()))
-    return out
+        return digits > 0 and bool(re.search(r"[^\W\d]{3}", s))
+    return not digits and bool(re.search(r"[^\W\d_]{2}", s)) and bool(re.search(r"\w\W+\w", s))
 
 
 def find_items(model: Crf, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
-    """Spans (start, end, type) of every text, in order, none inside another."""
+    """Spans (start, end, type) of every text, in order, none inside another: as decoded, without outer marks that no item has.
+
+    An item never goes on in the next line; one without what all of its type have is none.
+    """
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     clean = [(t or "") for t in texts]
     joined = "\n".join(clean) + "\n"
@@ -342,24 +413,22 @@ def find_items(model: Crf, texts: list[str | None]) -> list[list[tuple[int, int,
     last[:-1] = owner[1:] != owner[:-1]
     y = model.decode(e, last)
     line = np.cumsum(cp == 10)[start]
-    same = np.zeros(len(y), bool)  # an item never goes on in the next line
-    same[1:] = (y[1:] == y[:-1]) & (line[1:] == line[:-1])
+    kind = (y + 1) // 2  # 0 none, then one number a type
+    same = np.zeros(len(y), bool)
+    same[1:] = (kind[1:] == kind[:-1]) & (y[1:] % 2 == 0) & (line[1:] == line[:-1])
     first = np.flatnonzero((y > 0) & ~same)
-    if not len(first):
-        return out
-    stop = np.append(first[1:], len(y))
-    for f, limit in zip(first, stop, strict=True):
-        g = f
-        while g + 1 < limit and same[g + 1]:
-            g += 1
-        kind = LABELS[y[f]]
-        i = int(np.searchsorted(starts, start[f], side="right")) - 1
-        base = int(starts[i])
-        for a, b in _exact(kind, clean[i], int(start[f]) - base, int(end[g]) - base):
-            if a < b and (not out[i] or a >= out[i][-1][1]):
-                out[i].append((a, b, kind))
-            elif out[i] and kind == "email" and a <= out[i][-1][0]:
-                out[i][-1] = (a, b, kind)
+    stop = np.flatnonzero((y > 0) & ~np.append(same[1:], False))
+    for f, g in zip(first, stop, strict=True):
+        i = int(owner[f]) - 1
+        base, a, b = int(starts[i]), int(start[f]), int(end[g])
+        name = TYPES[kind[f] - 1]
+        edge = "+(" if name == "phone" else ""
+        while a < b and not (joined[a].isalnum() or joined[a] in edge):
+            a += 1
+        while b > a and not joined[b - 1].isalnum():
+            b -= 1
+        if a < b and _holds(name, joined[a:b]):
+            out[i].append((a - base, b - base, name))
     return out
 
 
@@ -374,8 +443,18 @@ def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 @cache
 def default_model() -> Crf:
-    """The model fitted on the labelled examples of this package."""
-    return fit(labelled_examples(EXAMPLES))
+    """The model fitted on the labelled examples of this package: its weights as kept, or fitted anew where the code or examples have changed."""
+    import inspect
+
+    from corvane.llm import personal_examples
+
+    fitted_on = [inspect.getsource(x) for x in (personal_examples, fit, word_features, word_class, in_threes, token_bounds, gap_before)]
+    digest = hashlib.sha256(repr((fitted_on, EXAMPLES, EPOCHS, STEP, BATCH, SHRINK, LEAST, OFFSETS, LABELS, MARKS)).encode()).hexdigest()
+    model = Crf.load(WEIGHTS, digest)
+    if model is None:
+        model = fit(labelled_examples(EXAMPLES))
+        model.digest = digest
+    return model
 
 
 ITEMS = "array<struct<part: int, kind: string, found: string, start: int>>"

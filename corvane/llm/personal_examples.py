@@ -1,69 +1,87 @@
-"""The small labelled table the personal-data model is trained from: frames with typed slots, and how slots are filled."""
+"""The labelled table the personal-data model is trained from: carrier lines with typed slots, and how slots are filled."""
 
 from __future__ import annotations
 
 import random
 import re
 
-# Given names of several countries (a feature of the model and fillers of the name slot).
+# Frequent given names of several countries (a feature of the model and fillers of the name slot).
 GIVEN = (
-    "Adam Agnes Aisha Alba Alice Amelie Ana Anders Andrea Anna Anouk Anton Arne Arthur Aurora Bas Beatriz Bianca Bram Bruno Camille Carla Carlos Carmen Caterina "
-    "Chloe Clara Claudia Daan Daniel David Diego Dirk Elena Elise Elsa Emil Emilia Emma Erik Eva Fabio Felix Femke Filippa Finn Florian Francesca Frida Giulia "
-    "Giovanni Greta Guillaume Hanna Hans Helena Henrik Hugo Ida Ines Irene Isabel Ivan Jan Jana Joana Johan John Jonas Jorge Joris Judith Julia Karin Katja Lars "
-    "Laura Lena Leo Liam Lieke Linda Lotte Luca Lucas Lucia Luis Maja Manon Mara Marco Maria Marie Marta Martin Mateus Matteo Maud Mia Miguel Mila Nadia Nina Nora "
-    "Oliver Olga Oscar Otto Pablo Paula Pavel Pedro Peter Petra Philipp Pierre Priya Rafael Rosa Ruth Samir Sara Sem Simon Sofia Sophie Stefan Sven Teresa Theo "
-    "Thomas Tiago Tim Tomas Ursula Valeria Vera Victor Viktor Wanda Willem Yara Yusuf Zoe"
+    "Adam Alex Alice Amelia Amy Ana Andrea Andrew Anna Anne Anouk Anton Antonio Arne Arthur Barbara Beatriz Ben Bianca Bram Bruno Camille Carla Carlos Carmen Caroline Catarina Charles Charlotte Chiara Chloe Christian Clara Claudia "
+    "Cristina Daan Daniel David Diana Diego Dirk Edward Elena Elisa Elise Emil Emilia Emma Eric Erik Erika Eva Fabio Felix Femke Fernando Finn Florian Francesca Francisco Frank Frida Gabriel Georg George Giovanni Giulia Greta Hanna "
+    "Hannah Hans Harry Helen Helena Henrik Hugo Ida Ines Irene Isabel Ivan Jack Jakob James Jan Jana Jean Joana Johanna John Jonas Jorge Joseph José João Judith Julia Julie Karin Karl Katharina Katja Lars Laura Lea Lena Leo Leon Liam "
+    "Linda Lisa Lotte Luca Lucas Lucia Luis Lukas Magdalena Manuel Mara Marc Marco Maria Marie Mario Mark Marta Martin Mateus Mathilde Matteo Max Mia Michael Miguel Mila Milan Nadia Nadine Natalia Nicolas Niklas Nina Noah Nora Olga "
+    "Oliver Olivia Oscar Otto Pablo Paolo Patrick Paul Paula Pavel Pedro Peter Petra Philip Pierre Rafael Rebecca Ricardo Rita Robert Roberto Rosa Ruth Samuel Sandra Sara Sebastian Silvia Simon Sofia Sophie Stefan Stefania Stephen "
+    "Susan Sven Teresa Theo Thomas Tiago Tim Tobias Tom Tomas Ursula Valentina Vera Veronika Victor Walter William Wim Yvonne Zoe"
 ).split()
 
-_STEMS = "Alder Berg Bracken Brind Brock Carl Celdr Clem Corn Dals Duns Elm Farr Ferr Gall Gramm Hask Hol Jans Jass Kel Kor Land Lind Lorr Mal Marv Mont Nord Orvik Ostr Peverk Pell Quess Rav Rein Ross Sand Sel Stell Stor Thorn Torr Vald Varn Vers Wal West Wint Zell".split()
-_ENDS = "a aud berg bert di ecki eira elli er ersen escu ez feld holt i ic ingam ini ino ley mann mans mer ova ow oza sen ska son stra strom ton ui worth andi".split()
-
-# One frame a line; {type} is a slot, all else is no item. Frames without a slot are what looks like an item and is none.
-FRAMES = r"""
-My name is {name}.|This is {name} speaking.|Kind regards, {name}|Signed: {name}|Please ask for {name} at the desk.|The booking is under {name}.|{name}|OK, {name}.|✓ {name}.|Contact: {name}|{name} called twice.
-Best wishes, {name}|I spoke with {name} yesterday.|The parcel is for {name}, not for me.|Ask {name} about it.|Sincerely, {name}|Attn: {name}|Dear team, {name} here.
-Mein Name ist {name}.|Hier spricht {name}.|Mit freundlichen Grüßen {name}|Der Termin läuft auf {name}.|Viele Grüße, {name}|Ich heiße {name}.|Bitte fragen Sie nach {name}.|Ansprechpartner: {name}
-Je m'appelle {name}.|La réservation est au nom de {name}.|Cordialement, {name}|Ici {name}.|Demandez {name} à l'accueil.|Bien à vous, {name}|Mon nom est {name}.
-Me llamo {name}.|La cita está a nombre de {name}.|Saludos, {name}|Habla {name}.|Pregunte por {name} en el mostrador.|Mi nombre es {name}.|Atentamente, {name}
-Mi chiamo {name}.|La prenotazione è a nome {name}.|Cordiali saluti, {name}|Sono {name}.|Chieda di {name} alla reception.|Parla {name}.
-O meu nome é {name}.|Chamo-me {name}.|A reserva está em nome de {name}.|Cumprimentos, {name}|Fala {name}.|Pergunte por {name} no balcão.
-Mijn naam is {name}.|De afspraak staat op naam van {name}.|Met vriendelijke groet, {name}|U spreekt met {name}.|Groeten, {name}|Vraag naar {name} aan de balie.|Ik heet {name}.
-Mail: {email}|E-mail: {email}|You can write to {email}.|Send the receipt to {email}, please.|My old address ({email}) no longer works.|{email}|OK, {email}.|✓ {email}.|Email {email} for details.|Reach me at {email}!
-E-Mail: {email}|Schreiben Sie an {email}.|Courriel : {email}|Écrivez-moi à {email}.|Correo: {email}|Escríbame a {email}.|Mi scriva a {email}.|Escreva para {email}.|Schrijf naar {email}.|Mailt u naar {email}?|Mijn adres is {email}.|O meu e-mail é {email}.
-Call me on {phone}.|My mobile is {phone}, evenings only.|Reach us at {phone} ext. 12.|Reach us at {phone} ext. 4417.|Tel.: {phone}|{phone}|OK, {phone}.|✓ {phone}.|Phone {phone}|Mobile: {phone}|Fax {phone}
-Rufen Sie mich unter {phone} an.|Meine Nummer ist {phone}.|Telefon {phone}|Appelez-moi au {phone}.|Tél. : {phone}|Mon numéro est le {phone}.|Llámeme al {phone}.|Tel. {phone}|Mi teléfono es {phone}.
-Mi chiami al {phone}.|Il mio numero è {phone}.|Ligue-me para {phone}.|O meu telefone é {phone}.|Bel mij op {phone}.|Mijn nummer is {phone}.|Telefoon: {phone}|Telefone: {phone}
-My SSN is {id_number}.|ID card: {id_number}|The social security number on file is {id_number}.|Passport no. {id_number}|Passport {id_number}|{id_number}|OK, {id_number}.|✓ {id_number}.|Tax ID {id_number}|My national insurance number is {id_number}.
-Meine Steuer-ID lautet {id_number}.|Ausweisnummer {id_number}|Personalausweis {id_number}|Mon numéro de sécurité sociale est {id_number}.|Passeport n° {id_number}|Carte d'identité {id_number}|Mi DNI es {id_number}.|Pasaporte {id_number}|NIE {id_number}
-Il mio codice fiscale è {id_number}.|Passaporto {id_number}|Carta d'identità {id_number}|O meu NIF é {id_number}.|Passaporte {id_number}|Cartão de cidadão {id_number}|Mijn BSN is {id_number}.|Paspoort {id_number}|Paspoortnummer {id_number}|Documento {id_number}
-I live at {address}, {town}.|Ship it to {address}.|Deliver to {address}, second floor, {town}.|Pickup from {address} in {town} please.|{address}|OK, {address}.|✓ {address}.|Address: {address}|Deliver to {address}, flat 3, {town}.
-Ich wohne in der {address}, {town}.|Lieferung bitte an {address}, {town}.|Anschrift: {address}|J'habite au {address}, {town}.|Livrez au {address} à {town}.|Adresse : {address}|Vivo en {address}, {town}.|Envíelo a {address} en {town}.
-Abito in {address}, {town}.|Consegnare in {address}, {town}.|Moro na {address}, {town}.|Entregar na {address}, {town}.|Ik woon op {address}, {town}.|Bezorgen op {address}, {town}.|Adres: {address}|Endereço: {address}
-{name} / {address} / {phone} / {email}|{name} / {address} / {phone}|{name} | {address} | {phone} | {email}|{name}; {phone}; {email}|{name} / {phone}|{name} | {email}|{name}, {address}, {phone}|Mail: {email}; {name}|{address} / {phone} / {email}|{name} / {id_number}
-{name}\n{address}\n{phone}\n{email}|{name}\n{phone}\n{email}|{name}\n{address}\n{phone}|{name}\n{address}\n{email}|{name}\n{address}\n{phone}\n{email}|{name}\n{address}|{phone}\n{email}|{name}\n{id_number}
-Tracking 00 3401 {4} {4} {2}|Article {3}-00-{4} is sold out.|{product} {product} ships in box {4}-{4}-{2}.|Order no. {code}, total 1,249.00 EUR.|Invoice 2026/{4}-{2}|Meter reading {4}.{4} kWh|IBAN field left empty|Room {2}, {town}|Step {2} of 120: 15:30-16:45
-Hex 0x{4}AF{4}, slot {2}|See https://shop.example.com/orders/{4}{4}|See https://help.example.org/a/{2}|Build v2.{2}.0 from 2026-03-{2} 10:22:07|Handle @{product} on the board|The file icon@2x.png is missing.|{product} Desk & {product} Works GmbH|{2} minutes|({1}/{1})
-Who do I ask about the price list with number {code} in {town}?|Why did {product} ticket {code} not arrive on Monday morning as promised?|How can I merge two baskets for order {code} at the {town} shop?|When does the return label under {code} open again in {town}?
-Unter der Nummer {code} finden Sie die Notizen aus {town}.|Der Fall {code} wurde eröffnet.|Le cas {code} a été ouvert.|El caso {code} se abrió.|Il caso {code} è stato aperto.|O caso {code} foi aberto.|De zaak {code} is geopend.|(ref. {code})|(no. {code})|(#{code})
-{1}.|{2}.|version {1}.{1}.{2}|Error {3} at line {4}|Total: {3},{2} EUR|{4}-{2}-{2}|{2}:{2}|SKU {4}-{3}|Batch {4}{4}|Serial {code}{4}|Lot {3}-{3}-{4}|Ref {4} {4} {4}|Model {product} {3}|{town} {town}|{product} {product}
-You are the front-desk assistant of {town}.|Answer politely and use the tools for {product}.|Antworte höflich und nutze die Werkzeuge für {product}.|Répondez poliment et utilisez les outils de {product}.|Eres el asistente de recepción de {town}.|Sei l'assistente alla reception di {town}.
-Please answer in French.|Reply in Dutch for my colleague, thanks.|Sure, go ahead|Bitte antworten Sie auf Englisch.|"please hold"|"hasta luego"|{"slots": ["09:15"], "ok": true}|Good morning, {town} office!|Thanks, the {product} team|The {product} plan covers it.
-I'm sorry, but I can't help with that.|I am not able to answer that.|Es tut mir leid, dabei kann ich nicht helfen.|Je suis désolé, je ne peux pas vous aider.|Lo siento, no puedo ayudar con eso.|Mi dispiace, non posso aiutare.|Het spijt me, daar kan ik niet bij helpen.
-The opening hours in {town} are 9 to 17.|{town}, {town} and {town} are closed.|Update: {product} and {product} are back.|On {2} May the {town} desk moves.|Since 2024 {product} has {4} users.|{product} {2} is {2} cm long.|Gate {2}, {town} Central|Article {2}, paragraph {1}
+# Frequent family names of several countries.
+FAMILY = (
+    "Smith Jones Taylor Brown Wilson Evans Walker Wright Hughes Hall Clarke Murphy Kelly Baker Turner Parker Cooper Morgan Müller Schmidt Schneider Fischer Weber Wagner Becker Hoffmann Koch Richter Klein Wolf Neumann Schwarz Zimmermann Krüger Hartmann Lange "
+    "Dupont Durand Lefebvre Moreau Laurent Girard Roux Fournier Mercier Garnier García Martínez López Sánchez Pérez Gómez Ruiz Díaz Moreno Álvarez Romero Navarro Rossi Russo Ferrari Esposito Bianchi Romano Colombo Ricci Marino Greco Conti Silva Santos Ferreira "
+    "Pereira Oliveira Costa Rodrigues Martins Sousa Fernandes Jansen Bakker Visser Smit Meijer Mulder Bos Vos Peters Hendriks Dekker Nowak Novak Horvat Nielsen Hansen Larsen Berg Lund Kowalski Ivanova Petrov Nagy Kovács Popescu Yilmaz Demir Nguyen Chen Khan Patel"
+).split()
+
+# Carrier lines: {type} is an item, other slots are none, and "|" parts two lines. First those with items, by type of the first.
+NAME = r"""
+I'm {name}, hi.|{name} wrote this.|Yours, {name}|Cheers, {name}|Thank you, {name}|Sent by {name}|Account holder: {name}|Put me through to {name}, please.|My flatmate {name} collects it.|Give it to {name} at reception.|The contract lists {name} as tenant.|Is {name} still working here?|{name} lost a key.|Customer {name} complained twice.|Invoice to {name}|Passenger: {name}|We met Dr. {name} in {town}.|Mrs {name} has signed.|Ask for Mr. {name}.|Guests are {name} and {name}.|{name}, {name}, {name}|Cc {name}|On behalf of {name}|Prepared for {name}
+Ich bin {name}.|Grüße von {name}|Herzlich, {name}|Danke, {name}|Gesendet von {name}|Kontoinhaber: {name}|Verbinden Sie mich mit {name}.|Meine Kollegin {name} holt es ab.|Geben Sie es {name} am Empfang.|Im Vertrag steht {name} als Mieter.|Frau {name} hat unterschrieben.|Herr {name} war nicht da.|Der Gast {name} reist morgen ab.|{name} hat den Schlüssel verloren.|Rechnung an {name}|Im Auftrag von {name}|Gezeichnet {name}|Beste Grüße {name}|Schöne Grüße {name}|Mit Grüßen {name}|Mit besten Grüßen {name}|Mit herzlichen Grüßen {name}|Liebe Grüße aus {town}, {name}|Hochachtungsvoll {name}
+Moi c'est {name}.|Amitiés, {name}|Merci, {name}|Envoyé par {name}|Titulaire : {name}|Passez-moi {name}, s'il vous plaît.|Ma collègue {name} viendra le chercher.|Le bail est signé par {name}.|Mme {name} a signé.|M. {name} était absent.|{name} a perdu sa clé.|Note à {name}|De la part de {name}|Bien cordialement {name}
+Soy {name}.|Un saludo, {name}|Gracias, {name}|Enviado por {name}|Titular: {name}|Póngame con {name}, por favor.|Mi compañera {name} lo recogerá.|El contrato nombra a {name}.|La señora {name} ha firmado.|El señor {name} no estaba.|{name} perdió la llave.|Nota para {name}|De parte de {name}
+Io mi chiamo così: {name}.|Saluti da {name}|Grazie, {name}|Inviato da {name}|Intestatario: {name}|Mi passi {name}, per favore.|La collega {name} lo ritira.|Il contratto è di {name}.|La signora {name} ha firmato.|Il signor {name} era assente.|{name} ha perso la chiave.|Fattura per {name}|Da parte di {name}
+Eu sou {name}.|Abraço, {name}|Obrigado, {name}|Enviado por: {name}|Titular da conta: {name}|Passe-me a {name}, por favor.|A minha colega {name} vai buscá-lo.|O contrato é de {name}.|A senhora {name} assinou.|O senhor {name} faltou.|{name} perdeu a chave.|Da parte de {name}
+Ik ben {name}.|Hartelijke groet, {name}|Bedankt, {name}|Verstuurd door {name}|Rekeninghouder: {name}|Verbind mij door met {name}.|Mijn collega {name} haalt het op.|Het contract is van {name}.|Mevrouw {name} heeft getekend.|De heer {name} was er niet.|{name} is zijn sleutel kwijt.|Factuur voor {name}|Namens {name}
+{name}|{name}.|✓ {name}.|({name})|- {name}|{name}:|"{name}"|{name} - {product}|{town}, {name}|OK, {name}|Fine, {name}.
+""".strip()
+EMAIL = r"""
+Drop me a line at {email}.|Forward the PDF to {email}, thanks.|The mailbox {email} bounced again.|Login is {email}|User {email} signed up.|Cc: {email}|Is {email} still valid?|New address: {email}|We answer from {email} within a day.|Copy {email} and {email} in.|({email})|<{email}>|{email}|{email}.|✓ {email}.|- {email}|OK, {email}|Write {email}!|Yes, {email}.
+Bitte an {email} weiterleiten.|Unter {email} bin ich erreichbar.|Das Postfach {email} ist voll.|Neue Adresse: {email}|Kopie an {email}|Kontakt per Mail: {email}|Transférez le tout à {email}.|Ma boîte est {email}.|Nouvelle adresse : {email}|Copie à {email}|Mande el archivo a {email}.|Mi buzón es {email}.|Copia a {email}|Nueva dirección: {email}
+Inoltri tutto a {email}.|La mia casella è {email}.|Copia per {email}|Nuovo indirizzo: {email}|Envie tudo para {email}.|A minha caixa é {email}.|Cópia para {email}|Novo endereço: {email}|Stuur alles naar {email}.|Mijn postbus is {email}.|Kopie aan {email}|Nieuw adres: {email}
+""".strip()
+PHONE = r"""
+Ring {phone} after six.|Text me: {phone}|You can phone us under {phone}, weekdays only.|Our line {phone} is dead.|Office {phone}|Cell {phone}|WhatsApp {phone}|Hotline: {phone}|Call back {phone} please.|The number {phone} no longer exists.|Dial {phone}, extension {2}.|Dial {phone} x{3}|{phone} ext {2}|({phone})|{phone}|{phone}.|✓ {phone}.|- {phone}|OK, {phone}|{phone} or {phone}
+Meine Handynummer lautet {phone}.|Bitte um Rückruf unter {phone}.|Durchwahl: {phone}|Mobil: {phone}|Tel {phone}|Die Leitung {phone} ist tot.|Joignable au {phone}.|Mon portable : {phone}|Portable {phone}|Rappelez le {phone} demain.|Mi móvil es el {phone}.|Móvil: {phone}|Llame otra vez al {phone}.|Teléfono {phone}
+Il mio cellulare è {phone}.|Cellulare: {phone}|Richiami il {phone} domani.|Telefono {phone}|O meu telemóvel é o {phone}.|Telemóvel: {phone}|Volte a ligar para {phone}.|Telefone {phone}|Mijn mobiele nummer is {phone}.|Mobiel: {phone}|Bel terug op {phone}.|Telefoon {phone}
+""".strip()
+ID_NUMBER = r"""
+Social security no. {id_number}|SSN: {id_number}|SSN {id_number} is on file.|The social number we hold is {id_number}.|My social is {id_number}.|Passport: {id_number}|My passport has the number {id_number}.|Tax number {id_number}|Taxpayer id {id_number}|National insurance {id_number}|Driving licence {id_number}|Identity card no. {id_number}|ID {id_number}, issued in {town}.|The insured person's number is {id_number}.|{id_number}|{id_number}.|✓ {id_number}.|- {id_number}|OK, {id_number}|The document carries {id_number}.
+Steuernummer {id_number}|Steuer-ID: {id_number}|Sozialversicherungsnummer {id_number}|Reisepass {id_number}|Ausweis-Nr. {id_number}|Mein Ausweis hat die Nummer {id_number}.|Numéro fiscal {id_number}|NIR {id_number}|Matricule {id_number}|Passeport {id_number}|CNI {id_number}|Ma carte porte le numéro {id_number}.|DNI: {id_number}|NIF {id_number}|Pasaporte n.º {id_number}|Mi documento es el {id_number}.|Seguridad social {id_number}
+Cod. fisc. {id_number}|C.F. {id_number}|Passaporto n. {id_number}|Carta d'identità n. {id_number}|Il documento ha il numero {id_number}.|NIF: {id_number}|Contribuinte {id_number}|Passaporte n.º {id_number}|Cartão n.º {id_number}|O documento tem o número {id_number}.|BSN: {id_number}|Burgerservicenummer {id_number}|Paspoort nr. {id_number}|Identiteitskaart {id_number}|Het document heeft nummer {id_number}.
+""".strip()
+ADDRESS = r"""
+We moved to {address} last year.|Bring it round to {address}.|The van stops at {address}, {town}.|Bill to {address}|Office: {address}, {town}|Leave the box at {address}, floor {1}.|Meet me outside {address}.|My flat is at {address} in {town}.|Send everything to {address}, unit {2}.|Home address {address}|Collect it from {address} in {town} today.|{address}|{address}.|✓ {address}.|- {address}|OK, {address}|{address}, {town}|{address}, {4} {town}
+Wir sind in die {address} gezogen.|Bringen Sie es zur {address} in {town}.|Mein Büro liegt am {address}.|Wohnhaft {address}, {4} {town}|Adresse: {address}|Lieferadresse {address}|Nous avons déménagé au {address}.|Apportez-le au {address}, {town}.|Mon bureau est au {address}.|Domicile : {address}|Adresse de livraison {address}
+Nos mudamos a {address}.|Tráigalo a {address}, {town}.|Mi oficina está en {address}.|Domicilio: {address}|Ci siamo trasferiti in {address}.|Lo porti in {address}, {town}.|Il mio ufficio è in {address}.|Residenza: {address}|Mudámo-nos para a {address}.|Traga-o à {address}, {town}.|O meu escritório fica na {address}.|Residência: {address}|Wij zijn verhuisd naar de {address}.|Breng het naar {address} in {town}.|Mijn kantoor is aan de {address}.|Woonadres: {address}
+""".strip()
+BLOCKS = r"""
+{name} / {address} / {phone} / {email}|{name} | {phone} | {email}|{name}; {address}; {town}|{name}, {phone}|{name}, {address}, {email}|{email} / {phone}|{phone} / {email} / {name}|{name} - {id_number}|{name} <{email}>|{email}, {name}|{address} | {phone}|{id_number} / {name}
+{name}\n{address}\n{phone}\n{email}|{name}\n{address}\n{town}|{name}\n{phone}|{email}\n{phone}|{name}\n{id_number}\n{address}|{address}\n{phone}|{id_number}\n{email}|{name}\n{email}\n{phone}
+""".strip()
+HELD = (NAME, EMAIL, PHONE, ID_NUMBER, ADDRESS, BLOCKS)
+
+# Lines without an item, though some look like one.
+NONE = r"""
+Parcel {4} {4} {4} {2} left {town}.|Shipment {2} {4} {4} {4} {2}|Trace {2} {3} {4} {4} is lost.|Part number {3}-{2}-{4} is out of stock.|The {product} lamp fits box {2}-{3}-{4}.|Order {code}: 2,310.50 USD|Bill {4}/{2}-{3}|Counter at {3}.{4} m3|Hall {2}, {town}|Stage {1} of {2}, 08:45-10:15|Pointer 0x{3}AB{2}|Link https://www.example.net/p/{4}{3}|See www.example.com/{2}|Open https://docs.example.org/a/b/{4}{4}|http://{product}.example/t/{code}?x={3}|https://shop.example.net/o/{2}-{4}{3}|Version {1}.{2}.{1} of 2027-11-{2}|Ping @{product} later|The image logo@3x.png is too big.|{product} Tools & {product} Sons Ltd|{2} hours|({2}/{2})|Score {2}:{2}|Code {3} in row {4}|Sum {4},{2} EUR|{4}-{2}-{2}|{2}:{2}|Item {4}-{3}|Run {4}{4}|Device {code}{3}|Ticket {code}|{product} {product}|{town} {town}|{product} {3}|Chapter {1}, verse {2}|Route {2}, {town} West|Since 2019 {product} sold {4} units.|{given} is ill today.|Thanks {given}!|Hi {given},|Hello {given}, how are you?|Mr {family} called.|Dear Ms {family},|Frau {family} ist krank.|Hallo {given},|Bonjour {given},|Señor {family}, gracias.|Ciao {given}|Olá {given},|Beste {given},|{given} and {given} agreed.|The {town} office and the {product} office merged.|{product}, {town}, {town} and {product} are listed.|On 3 June the {town} branch opens.|Pressure {2}.{2} bar at {2}.{1} C|Ref. {3} {3} {4}|IBAN missing|Batch {code}|(no. {code})|(id {code})|#{code}|ISBN {3}-{1}-{2}-{4}|GPS {2}.{4}, {1}.{4}|{2} kg, {3} mm, {2} %|PO box {3}|Zip {4}|Bus {3} to {town}|Gate {1}{2}
+Who owns file {code} in {town}?|Why is request {code} for {product} late?|How do I join two lists under {code}?|Can {product} read {code} by tonight?|Wer kennt die Akte {code} aus {town}?|Warum hängt der Vorgang {code}?|Kann {product} heute {code} lesen?|Qui suit l'affaire {code} à {town} ?|Pourquoi la demande {code} traîne-t-elle ?|¿Quién lleva el caso {code} en {town}?|¿Por qué tarda la solicitud {code}?|Chi segue la pratica {code} a {town}?|Perché la richiesta {code} tarda?|Quem trata do processo {code} em {town}?|Porque demora o pedido {code}?|Wie volgt zaak {code} in {town}?|Waarom duurt aanvraag {code} zo lang?
+You help the guests of {town}.|Be kind and call the functions of {product}.|Sei höflich und rufe die Funktionen von {product} auf.|Aidez les visiteurs de {town}.|Ayuda a los visitantes de {town}.|Aiuta gli ospiti di {town}.|Ajuda os hóspedes de {town}.|Help de gasten van {town}.|Answer me in Spanish, would you?|Right, do it|Antworte mir lieber auf Italienisch.|"one moment"|"a presto"|{"times": ["10:30", "11:00"], "free": false}|Morning all at {town}!|Best, your {product} crew|{product} e {product} arrivano.|{product} y {town} no.|{town} e {town}|A {product} e a {town} fecham.|O {product} e os outros.|E-Mail folgt.|E-Mail leer|Bitte per E-Mail senden.|Grüße aus {town}|Das Gerät {product} summt.|Akte {code} ruht bis Mai.|Only {product} supports that.
+I cannot do this for you.|We are unable to say more.|Das kann ich leider nicht tun.|Je ne peux pas le faire.|No puedo hacerlo.|Non posso farlo.|Não posso fazer isso.|Dat kan ik niet doen.|{town} shuts at {2}.|News: {product} and {product} work again.
 """.strip()
 
 # Ordinary sentences of the languages: no item in them.
-PLAIN = """
-It usually takes {2} minutes to book a follow-up visit, and nothing else has to be done.|There were {2} questions about the price list last week, most of them from {town}.|When you merge two baskets, the system keeps a copy for {2} days.|We have moved the tool schema to {town}, where about {2} people work.|They told us that {product} works best together with the form.|Our team at {town} will check the list and write back by tomorrow evening.|He said the refund for {product} would arrive before noon, but it never did.|Each of the {2} rows must name its group.|Does {product} allow me to move the appointment if {code} was closed?|I would like to cancel the second item, my reference {code} is from {town}, what should I do?
-Letzte Woche gab es {2} Fragen über die Anfrage, viele davon aus {town}.|Wir haben die Terminliste nach {town} verlegt, wo etwa {2} Leute arbeiten.|Man sagte uns, dass {product} zusammen mit dem Zubehör aus {town} gut funktioniert.|Der Tarif {product} umfasst die Rechnung, jedoch nicht den Versand nach {town}.|Wen frage ich wegen Vorgang {code} in {town}, wenn das Angebot fehlt?|Das Suchwerkzeug lieferte {2} Treffer, doch nur wenige davon betrafen {product}.|Darf man mit {product} und Nummer {code} diese Woche den Bestand prüfen?|Eine Pflegerin in {town} nimmt die Anrufe entgegen.
-La semaine dernière, nous avons reçu {2} questions sur le rapport, surtout depuis {town}.|Il faut compter {2} minutes pour demander un échange, rien de plus.|La formule {product} comprend le tarif, mais pas l'expédition vers {town}.|Je voudrais signaler un colis manquant, ma référence {code} vient de {town}, que dois-je faire ?|Notre équipe de {town} va vérifier le bon de retour.|Seul le personnel de {town} peut vérifier le stock.|L'outil de recherche a renvoyé {2} passages, mais très peu parlaient de {product}.
-La semana pasada hubo {2} preguntas sobre la franja de entrega, casi todas desde {town}.|Hemos trasladado el informe a {town}, donde trabajan unas {2} personas.|El plan {product} incluye la factura, pero no los envíos hacia {town}.|¿Por qué el aviso {code} de {product} no llegó durante la noche?|Quiero cambiar la fecha, mi número {code} es de {town}, ¿qué debo hacer?|Una enfermera de {town} atiende el teléfono.|Nuestro equipo de {town} revisará la tarjeta de cliente.
-La settimana scorsa sono arrivate {2} domande su {product}, molte da {town}.|Ci vogliono {2} minuti per cambiare la data del ritiro.|Il piano {product} comprende la fattura, ma non le spedizioni verso {town}.|Perché la segnalazione {code} per {product} non è arrivata?|Un'infermiera di {town} risponde al telefono.|Abbiamo spostato la tessera a {town}, dove lavorano circa {2} persone.|Il nostro gruppo di {town} controllerà la lista.
-Na semana passada houve {2} perguntas sobre {product}, muitas delas de {town}.|São precisos {2} minutos para atualizar os dados.|O plano {product} inclui a fatura, mas não os envios para {town}.|Por que o aviso {code} de {product} não chegou durante a noite?|Uma enfermeira de {town} atende o telefone.|A nossa equipa de {town} vai verificar a fatura.|Mudámos o relatório para {town}, onde trabalham cerca de {2} pessoas.
-Vorige week waren er {2} vragen over de rekening, vooral uit {town}.|Het duurt {2} minuten, daarna kunt u meteen een afspraak maken.|Het pakket {product} omvat het verslag, maar niet de verzending naar {town}.|Waarom is melding {code} voor {product} niet voor de middag aangekomen?|Ons team in {town} bekijkt het etiket.|Alleen het personeel in {town} mag de voorraad bekijken.|Een verpleegster in {town} neemt de telefoon op.|We hebben de rekening naar {town} verplaatst, waar ongeveer {2} mensen werken.
+PLAIN = r"""
+The lift in {town} needs {2} days of repair and nobody minds.|Last year {4} people asked about {product}, and half came from {town}.|Whenever you sort the shelf, keep {2} boxes free.|Everybody at {town} liked the new map, although it was late.|Our neighbours told me {product} breaks easily in winter.|She promised that {product} would ship on Friday, but no one believed it.|A row without a heading is skipped.|Is it true that {product} can be washed at {2} degrees?|Take the second left, then wait near the bridge until the bell rings.|The teacher put the keys in the drawer and went home early.
+Der Aufzug in {town} braucht {2} Tage, und niemand stört sich daran.|Im letzten Jahr fragten {4} Leute nach {product}, die Hälfte aus {town}.|Wer das Regal sortiert, lässt bitte {2} Kisten frei.|Die Nachbarn sagen, {product} gehe im Winter leicht kaputt.|Der Lehrer legte die Schlüssel in die Schublade und ging früh nach Hause.|Eine Zeile ohne Überschrift wird übersprungen.|Stimmt es, dass man {product} bei {2} Grad waschen kann?|Die Brücke bei {town} ist seit gestern gesperrt.|Ihre Bestellung liegt vorn.|Unsere Werkstatt ruft zurück.|Unsere Leute prüfen das.|Does {product} work?|Later this year {product} comes.|Jeder Gast bekommt Ihre Broschüre.|Herzlichen Dank für Ihren Besuch.|Jede Woche kommt Ihr Paket.|Das Modell {product} und der Ort {town} passen.|Der Laden {product} hat Ihre Tasche.
+L'ascenseur de {town} sera réparé en {2} jours et cela ne gêne personne.|L'an dernier, {4} personnes ont demandé {product}, la moitié depuis {town}.|Quand vous rangez l'étagère, laissez {2} boîtes libres.|Les voisins disent que {product} casse vite en hiver.|Le maître a mis les clés dans le tiroir avant de rentrer.|Une ligne sans titre est ignorée.|Le pont de {town} est fermé depuis hier.|À {town} il pleut.|Bonjour, Avez-vous {product} ?|À {town}
+El ascensor de {town} tarda {2} días en arreglarse y a nadie le importa.|El año pasado {4} personas preguntaron por {product}, la mitad de {town}.|Al ordenar el estante, deje {2} cajas libres.|Los vecinos dicen que {product} se rompe en invierno.|El maestro guardó las llaves en el cajón y se fue temprano.|Una fila sin título se omite.|El puente de {town} está cerrado desde ayer.|En {town}|Es de {town} y viene de {town}.|A {town}
+L'ascensore di {town} richiede {2} giorni e nessuno se ne lamenta.|L'anno scorso {4} persone hanno chiesto di {product}, metà da {town}.|Quando ordini lo scaffale, lascia libere {2} scatole.|I vicini dicono che {product} si rompe d'inverno.|Il maestro mise le chiavi nel cassetto e tornò a casa presto.|Una riga senza titolo viene saltata.|Il ponte di {town} è chiuso da ieri.|A {town}|Viene da {town} e va a {town}.|Buonasera, Avete {product}?
+O elevador de {town} demora {2} dias e ninguém se importa.|No ano passado {4} pessoas perguntaram por {product}, metade de {town}.|Ao arrumar a prateleira, deixe {2} caixas livres.|Os vizinhos dizem que {product} parte no inverno.|O professor pôs as chaves na gaveta e saiu cedo.|Uma linha sem título é ignorada.|A ponte de {town} está fechada desde ontem.|Em {town}|É de {town}.|Boa noite, Tem {product}?
+De lift in {town} heeft {2} dagen nodig en niemand vindt dat erg.|Vorig jaar vroegen {4} mensen naar {product}, de helft uit {town}.|Wie de plank opruimt, laat {2} dozen vrij.|De buren zeggen dat {product} in de winter snel stukgaat.|De leraar legde de sleutels in de la en ging vroeg naar huis.|Een regel zonder kop wordt overgeslagen.|De brug bij {town} is sinds gisteren dicht.|In {town}|Het komt uit {town} van {product}.|Goedenavond, Heeft u {product}?
 """.strip()
 
 _SLOT = re.compile(r"\{(\w+)\}")
+TYPES = ("name", "email", "phone", "id_number", "address")
+#: Part of the lines whose carrier words are made unknown, so that items are learned by their own look, and of each such line's words.
+BLURRED, BLUR = 0.45, 0.7
 
 
 class _Fill:
@@ -76,104 +94,147 @@ class _Fill:
     def upper(self, n: int) -> str:
         return "".join(self.r.choice("ABCDEFGHJKLMNPQRSTUVWXYZ") for _ in range(n))
 
+    def form(self, pattern: str) -> str:
+        """A pattern with # as a digit and @ as a capital."""
+        return re.sub("[#@]", lambda m: self.digits(1) if m.group() == "#" else self.upper(1), pattern)
+
+    def word(self, low: int = 1, high: int = 3) -> str:
+        """An invented word of some syllables."""
+        r = self.r
+        s = ""
+        for _ in range(r.randint(low, high)):
+            s += r.choice(("b", "br", "c", "ch", "d", "f", "fl", "g", "gr", "h", "j", "k", "kl", "l", "m", "n", "p", "pr", "qu", "r", "s", "sch", "st", "t", "tr", "v", "w", "z")) + r.choice("aaeeiioouuyäé" if r.random() < 0.1 else "aaeeiioou") + r.choice(("", "", "l", "m", "n", "r", "s", "x", "nd", "rt", "ss", "nt", "ck", "lm"))
+        return s
+
+    def given(self) -> str:
+        return self.r.choice(GIVEN) if self.r.random() < 0.9 else self.word(2, 2).capitalize()
+
     def family(self) -> str:
-        return self.r.choice(_STEMS) + self.r.choice(_ENDS)
+        r = self.r
+        x = r.random()
+        if x < 0.3:
+            return r.choice(FAMILY)
+        if x < 0.36:
+            return r.choice(("van", "van der", "de", "von", "da", "di", "del")) + " " + r.choice(FAMILY)
+        return self.word(1, 2).capitalize() + r.choice(("", "", "mann", "berg", "er", "sen", "son", "ski", "ini", "ez", "os", "ova", "eau", "stra", "ley", "ton", "ia", "au", "elli", "holt", "dorf", "ström"))
 
     def name(self) -> str:
-        r, g, f = self.r, self.r.choice(GIVEN), self.family()
+        r, g, f = self.r, self.given(), self.family()
         x = r.random()
-        s = f"{g} {f}" if x < 0.5 else f"{g[0]}. {f}" if x < 0.63 else f"{g} {self.upper(1)}. {f}" if x < 0.76 else f"{f}, {g}" if x < 0.88 else f"{g} {f}-{self.family()}"
+        s = f"{g} {f}" if x < 0.5 else f"{g[0]}. {f}" if x < 0.63 else f"{g} {self.upper(1)}. {f}" if x < 0.74 else f"{f}, {g}" if x < 0.85 else f"{g} {f}-{self.family()}" if x < 0.97 else f"{g} {self.given()} {f}"
         x = r.random()
-        return s.upper() if x < 0.13 else s.lower() if x < 0.23 else s
+        return s.upper() if x < 0.12 else s.lower() if x < 0.22 else s
+
+    def host(self) -> str:
+        r = self.r
+        top = r.choice(("com", "net", "org", "eu", "de", "fr", "es", "it", "pt", "nl", "info", "test", "example", "invalid", "io"))
+        return r.choice((f"example.{r.choice(('com', 'net', 'org'))}", f"{self.word()}.{top}", f"{r.choice(('mail', 'post', 'inbox', 'web'))}.{self.word()}.{top}", f"{self.word(1, 1)}-{self.word(1, 1)}.{top}", f"{self.word(1, 2)}.{top}"))
 
     def email(self) -> str:
-        r, g, f = self.r, self.r.choice(GIVEN).lower(), self.family().lower()
-        a = r.choice((f"{g}.{f}", f"{g}-{f}", f"{f}{r.randint(1950, 2012)}", f"{f}_{r.randint(1, 99)}", f"{g[0]}{f}", f"{g}+shop", f"{g}+q3", f"{g}_{f}", f, g))
-        host = r.choice(("example.com", "example.net", "example.org", "mail.example.com", "post.example.org", "inbox.test", "office.example", "letters.invalid", "firma.example.de", "a-b.example"))
+        r, g, f = self.r, self.given().lower(), re.sub(r"\W", "", self.family().lower())
+        a = r.choice((f"{g}.{f}", f"{g}-{f}", f"{f}{r.randint(1, 2015)}", f"{f}_{r.randint(1, 99)}", f"{g[0]}{f}", f"{g}+{self.word(1, 2)}", f"{g}_{f}", f, g, f"{g}{self.digits(2)}", f"{g[0]}.{f}", self.word()))
+        host = self.host()
         x = r.random()
-        s = f"{a}@{host}" if x < 0.84 else f"{a} at {host.replace('.', ' dot ')}" if x < 0.91 else f"{a}{r.choice(('(at)', ' [at] ', ' (at) ', '[at]'))}{host}"
+        s = f"{a}@{host}" if x < 0.8 else f"{a} at {host.replace('.', ' dot ')}" if x < 0.9 else f"{a}{r.choice(('(at)', ' [at] ', ' (at) ', '[at]'))}{host if r.random() < 0.7 else host.replace('.', r.choice((' (dot) ', '[dot]', ' dot ')))}"
         return s.upper() if r.random() < 0.1 else s
 
     def phone(self) -> str:
-        r, d = self.r, self.digits
-        return r.choice((
-            lambda: f"({d(3)}) 555-0{d(3)}", lambda: f"{d(3)}-555-0{d(3)}", lambda: f"{d(3)}.555.0{d(3)}", lambda: f"+1 {d(3)} 555 0{d(3)}", lambda: f"+1{d(3)}5550{d(3)}",
-            lambda: f"+44 20 7946 0{d(3)}", lambda: f"01632 960{d(3)}", lambda: f"030 23125 {d(3)}", lambda: f"030/23125-{d(3)}", lambda: f"+49 30 23125{d(3)}", lambda: f"0049 30 23125{d(3)}",
-            lambda: f"01 99 00 {d(2)} {d(2)}", lambda: f"0199 00{d(4)}", lambda: f"01.99.00.{d(2)}.{d(2)}", lambda: f"+33 1 99 00 {d(2)} {d(2)}", lambda: f"(0{d(2)}) 555 0{r.choice('01')} {d(2)}",
-            lambda: f"+999 {d(2)} {d(3)} {d(4)}", lambda: f"+999 ({d(1)}) {d(2)} {d(2)} {d(2)} {d(2)}", lambda: f"+999-{d(7)}", lambda: f"00999 {d(3)} {d(3)} {d(3)}", lambda: f"+{d(2)} {d(3)} {d(6)}", lambda: f"0{d(3)}-{d(6)}",
-        ))()
+        f = self.r.choice((
+            "(###) ###-####", "###-###-####", "###.###.####", "+1 ### ### ####", "+1##########", "1-###-###-####", "(###)###-####", "+44 ## #### ####", "+44 #### ######", "0#### ######", "0### ### ####", "0## ##### ###", "0##/#####-###", "0##/######", "+49 ## ########", "+49 ### #######", "0049 ## ########", "0#### #####",
+            "0# ## ## ## ##", "0#.##.##.##.##", "0#########", "+33 # ## ## ## ##", "0033 # ## ## ## ##", "0### ######", "9## ### ###", "6## ## ## ##", "+34 ### ### ###", "+39 ### #######", "0## #######", "+351 ### ### ###", "0##-#######", "06-########", "+31 # ########", "+31 ## #######", "(0##) ### ## ##", "+### ## ### ####", "+### (#) ## ## ## ##", "+###-#######", "00### ### ### ###", "+## ### ######", "0###-######", "00## ## ### ####",
+        ))
+        return self.form(f)
 
     def id_number(self) -> str:
-        r, d, u = self.r, self.digits, self.upper
-        return r.choice((
-            lambda: f"9{d(2)}-00-{d(4)}", lambda: f"9{d(2)} 00 {d(4)}", lambda: f"9{d(2)}00{d(4)}", lambda: f"9{d(2)}{d(6)}", lambda: f"{u(2)}{d(6)}", lambda: f"{u(2)}{d(6)}{u(1)}", lambda: f"{u(2)}{d(7)}", lambda: f"X{d(7)}", lambda: f"X{d(7)}{u(1)}",
-            lambda: f"{u(6)}{d(2)}{u(1)}{d(2)}{u(1)}{d(3)}{u(1)}", lambda: f"00{d(9)}", lambda: f"00 {d(3)} {d(3)} {d(3)}", lambda: f"9 {d(2)} 1{d(1)} {d(2)} {d(3)} {d(3)} {d(2)}", lambda: f"9{d(14)}", lambda: f"9{d(12)}",
-            lambda: f"{d(9)}", lambda: f"{d(8)}{u(1)}", lambda: f"{d(2)}{u(2)}{d(5)}", lambda: f"{u(3)}{d(6)}", lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: f"{u(1)}{d(8)}", lambda: f"{d(3)} {d(3)} {d(3)}",
-            lambda: f"{d(2)}.{d(3)}.{d(3)}-{u(1)}", lambda: f"L0{u(2)}{d(5)}", lambda: f"{d(8)}-{u(1)}",
-        ))()
+        f = self.r.choice((
+            "###-##-####", "### ## ####", "#########", "@@ ## ## ## @", "@@######@", "@@@@@######@@#@@", "@########", "@@#######", "@@######", "##@@#####", "@@@######", "## ### ### ###", "###########", "##/###/#####", "@0@@#####", "@########@", "# ## ## ## ### ### ##", "# ## ## ## ### ###", "#############", "###############",
+            "########@", "########-@", "@#######@", "@-#######-@", "##.###.###-@", "@@@@@@##@##@###@", "@@#####@@", "#########", "### ### ###", "######## # @@#", "####.##.###", "###.###.###", "@@####@@#", "@@@@@##########",
+        ))
+        return self.form(f)
 
     def address(self) -> str:
         r = self.r
-        n = f"{r.randint(1, 249)}{r.choice(('', '', '', 'a', 'A', 'B', 'b'))}"
-        en = r.choice("Kestrel Quarry Copper Larch Foxglove Willow Harbour Station High|Old Mill|St Bride|Long Acre|Church".replace("|", "_").replace(" ", "_").split("_")) if r.random() < 0.6 else r.choice(("Old Mill", "St Bride", "Long Acre", "Green Dragon", "Queen Anne"))
-        tree = r.choice("Linden Kiefern Birken Brunnen Mühlen Garten Eichen Schul Berg Kirch Wiesen Rosen".split())
-        nl = r.choice("Kastanje Linden Molen Water Heide Kerk School Dorps Berken Tulpen".split())
+        n = f"{r.randint(1, 260)}{r.choice(('', '', '', 'a', 'A', 'B', 'c'))}"
+        own = self.word(1, 2).capitalize()
+        en = r.choice("Maple Oak Church Park Victoria Mill King Elm Bridge Chapel Albert Abbey Meadow Castle Spring Hill".split()) if r.random() < 0.5 else r.choice((own, f"{own} {self.word(1, 1).capitalize()}", f"St {self.given()}", f"Old {own}", f"New {r.choice(FAMILY)}"))
+        de = r.choice("Haupt Bahnhof Schiller Goethe Wald Dorf Markt Ring Mozart Post Feld Sonnen".split()) if r.random() < 0.5 else own
+        nl = r.choice("Dorps Nieuw Wilhelmina Juliana Parallel Station Haven Eiken Oranje Raadhuis".split()) if r.random() < 0.5 else own
+        art = r.choice(("de la ", "du ", "des ", "de l'", "de ", ""))
+        fr = r.choice(("Victor Hugo", "de la République", "de Paris", "du Stade", "des Acacias", "Pasteur", "de la Mairie", "du Château Vert")) if r.random() < 0.5 else art + own + r.choice(("", f" {self.word(1, 2).capitalize()}"))
+        es = r.choice(("Mayor", "de la Constitución", "del Carmen", "de Cervantes", "de los Pinos", "Real", "de San Juan")) if r.random() < 0.5 else r.choice(("de la ", "del ", "de los ", "de las ", "de ", "")) + own + r.choice(("", "", f" {self.word(1, 1).capitalize()}"))
+        it = r.choice(("Roma", "Dante", "Mazzini", "della Libertà", "dei Mille", "del Corso", "San Marco")) if r.random() < 0.5 else r.choice(("della ", "dei ", "del ", "delle ", "")) + own
+        pt = r.choice(("da Liberdade", "do Comércio", "de Santa Maria", "dos Combatentes", "25 de Abril", "das Oliveiras")) if r.random() < 0.5 else r.choice(("da ", "do ", "dos ", "das ", "")) + own + r.choice(("", "", f" {self.word(1, 1).capitalize()}"))
         return r.choice((
-            lambda: f"{n} {en} {r.choice('Street St Road Rd Lane Drive Court Avenue Ave Close Way'.split())}", lambda: f"{n} {en} {r.choice('Street St Road Lane Drive Court'.split())}",
-            lambda: f"{tree}{r.choice('straße weg allee gasse platz str. strasse'.split())} {n}",
-            lambda: f"{n} {r.choice('rue avenue chemin allée place boulevard'.split())} {r.choice(('des Alouettes', 'du Vieux Puits', 'des Tilleuls', 'de la Fontaine Grise', 'du Lavoir', 'de la Gare', 'Victor Hugo', 'des Lilas', 'du Moulin'))}",
-            lambda: f"{r.choice('Calle Plaza Camino Avenida Paseo'.split())} {r.choice(('del Molino', 'del Olivo Alto', 'de las Cigüeñas', 'de la Noria', 'de la Fuente', 'Mayor', 'del Sol', 'de los Olmos'))} {n}",
-            lambda: f"{r.choice('Via Viale Piazza Corso Vicolo'.split())} {r.choice(('delle Rondini', 'del Mulino', 'dei Gelsi', 'della Pieve', 'Garibaldi', 'dei Tigli', 'della Fonte'))} {n}",
-            lambda: f"{r.choice('Rua Travessa Avenida Largo'.split())} {r.choice(('dos Salgueiros', 'do Moinho', 'das Amoras', 'da Fonte', 'do Sol', 'das Flores', 'da Igreja Velha'))} {n}",
-            lambda: f"{nl}{r.choice('straat laan kade weg plein gracht'.split())} {n}",
+            lambda: f"{n} {en} {r.choice('Street St Road Rd Lane Drive Court Avenue Ave Close Way Place Terrace Crescent Gardens Boulevard Ln Dr'.split())}", lambda: f"{n} {en} {r.choice('Street St Road Rd Lane Drive Court Avenue'.split())}",
+            lambda: f"{de}{r.choice('straße str. str weg allee gasse platz ring damm ufer strasse'.split())} {n}", lambda: f"{r.choice(('Am', 'An der', 'Im', 'Zum'))} {own} {n}",
+            lambda: f"{n}{r.choice(('', '', ','))} {r.choice('rue avenue chemin allée place boulevard impasse quai route'.split())} {fr}",
+            lambda: f"{r.choice('Calle Plaza Camino Avenida Paseo Ronda Travesía C/'.split())} {es}{r.choice(('', '', ','))} {n}",
+            lambda: f"{r.choice('Via Viale Piazza Corso Vicolo Largo Strada'.split())} {it}{r.choice(('', '', ','))} {n}",
+            lambda: f"{r.choice('Rua Travessa Avenida Largo Praça Alameda Estrada'.split())} {pt}{r.choice(('', '', ','))} {n}",
+            lambda: f"{nl}{r.choice('straat laan kade weg plein gracht dijk singel steeg pad'.split())} {n}",
         ))()
 
     def town(self) -> str:
-        return self.r.choice("Ash Bro Cas Esk Lind Mol Nor Sel Tarn Wil Green Oak".split()) + self.r.choice("mont haven vale oria erby wijk stadt feld denfeld mouthe quera ford bury".split())
+        return (self.word(1, 2) + self.r.choice(("", "", "dal", "burg", "hausen", "port", "minster", "ville", "beek", "ano", "ela", "heim", "gate", "ness"))).capitalize()
 
     def product(self) -> str:
-        s = self.r.choice("Ael Bel Dra Fen Hyl Kor Lu Mer Nix Or Pel Qua Sy Tal Ve Zin".split()) + self.r.choice("a be do ga lo me ni phi ri sa ska ta tu va xo zi".split()) + self.r.choice("dor lis lume mia ne nox quil rin sa tra vane vex zen".split())
-        return s
+        return self.word(2, 3).capitalize()
 
     def code(self) -> str:
-        s = "".join(self.r.choice("ABCDEFGHKLMNPRSTVXY0123456789") for _ in range(7))
-        s = self.r.choice((s, s, f"{s[:3]}-{s[3:]}", f"{s[:2]}/{s[2:5]}/{s[5:]}"))
+        n = self.r.randint(5, 9)
+        s = "".join(self.r.choice("ABCDEFGHKLMNPQRSTVWXYZ0123456789") for _ in range(n))
+        s = self.r.choice((s, s, f"{s[:3]}-{s[3:]}", f"{s[:2]}/{s[2:]}", f"{s[:2]}/{s[2:4]}/{s[4:]}"))
         return s.lower() if self.r.random() < 0.3 else s
 
-    def one(self, frame: str) -> tuple[str, list[tuple[int, int, str]]]:
+    def blurred(self, part: str) -> str:
+        """Carrier words made unknown, each in its own case."""
+
+        def other(m: re.Match) -> str:
+            w = m.group()
+            if self.r.random() > BLUR:
+                return w
+            new = self.word(1, 3)
+            return new.upper() if w.isupper() else new.capitalize() if w[0].isupper() else new
+
+        return re.sub(r"[^\W\d_]{2,}", other, part)
+
+    def one(self, line: str) -> tuple[str, list[tuple[int, int, str]]]:
         out, spans, at = "", [], 0
-        for m in _SLOT.finditer(frame):
-            out += frame[at : m.start()]
+        keep = (lambda s: s) if self.r.random() > BLURRED else self.blurred
+        for m in _SLOT.finditer(line):
+            out += keep(line[at : m.start()])
             at = m.end()
             slot = m.group(1)
             v = self.digits(int(slot)) if slot.isdigit() else getattr(self, slot)()
-            if slot in ("name", "email", "phone", "id_number", "address"):
+            if slot in TYPES:
                 spans.append((len(out), len(out) + len(v), slot))
             out += v
-        return out + frame[at:], spans
+        return out + keep(line[at:]), spans
+
+
+def lines(block: str) -> list[str]:
+    """A block's lines; "|" inside one stands between spaces."""
+    return [f.replace("\\n", "\n") for row in block.split("\n") for f in re.split(r"(?<! )\|(?! )", row) if f]
 
 
-def _frames(block: str) -> list[str]:
-    # "|" inside a frame stands between spaces
-    return [f.replace("\\n", "\n") for line in block.split("\n") for f in re.split(r"(?<! )\|(?! )", line) if f]
+def apart(every: list[str], kept: bool) -> list[str]:
+    """Every sixth line is kept from training, to be measured on."""
+    return [x for i, x in enumerate(every) if (i % 6 == 5) == kept]
 
 
-def labelled_examples(n: int, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """``n`` lines of one to four frames each, with the spans of their items."""
+def labelled_examples(n: int, seed: int = 11, unseen: bool = False) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """``n`` texts of one to four lines each, with the spans of their items; ``unseen`` ones from the lines kept from training."""
     fill, rows = _Fill(seed), []
-    frames, plain = _frames(FRAMES), _frames(PLAIN)
-    held = [f for f in frames if _SLOT.search(f) and re.search(r"\{(name|email|phone|id_number|address)\}", f)]
-    other = [f for f in frames if f not in held]
+    held, none, plain = [apart(lines(b), unseen) for b in HELD], apart(lines(NONE), unseen), apart(lines(PLAIN), unseen)
     for _ in range(n):
         text, spans = "", []
-        for _ in range(fill.r.choice((1, 1, 2, 2, 3, 4))):
+        for _ in range(fill.r.choice((1, 1, 2, 2, 3))):
             x = fill.r.random()
-            f = fill.r.choice(held if x < 0.45 else other if x < 0.7 else plain)
-            s, own = fill.one(f)
+            s, own = fill.one(fill.r.choice(fill.r.choice(held) if x < 0.5 else none if x < 0.75 else plain))
             if not own and fill.r.random() < 0.08:
                 s = s.upper()
             if text:
-                text += fill.r.choice(" \n") if fill.r.random() < 0.5 else fill.r.choice((" ", " ", "; "))
+                text += fill.r.choice((" ", " ", " ", "\n", "\n", "; "))
             spans += [(a + len(text), b + len(text), k) for a, b, k in own]
             text += s
         rows.append((text, spans))
