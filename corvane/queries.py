@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.operators import chat, dedupe, evaluate, ledger, records
+from corvane.operators import chat, dedupe, evaluate, formats, ledger, records
 
-_MODULES: tuple = (chat, dedupe, evaluate, ledger, records)
+_MODULES: tuple = (chat, dedupe, evaluate, formats, ledger, records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
