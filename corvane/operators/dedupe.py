@@ -62,24 +62,46 @@ def similar_pairs(sets: DataFrame, threshold: float, sides: bool = False) -> Dat
     return pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), jaccard(F.col("x"), F.col("y")).alias("score")).filter(F.col("score") >= threshold - 1e-12)
 
 
+def similar_classes(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``sets(key, items array)`` to ``links(a, b, score)`` between representatives and ``members(key, representative)``.
+
+    Keys with equal sets are a class under their least key; similar classes are linked once. All pairs
+    of keys follow from both, and a class of copies of any size is one row of the join. Empty and null
+    sets are in no class.
+    """
+    s = cut(sets.filter(F.size("items") > 0).select("key", F.array_sort(F.array_distinct("items")).alias("items")).withColumn("h", F.sha2(F.to_json("items"), 256)))
+    firsts = cut(s.groupBy("h").agg(F.min("key").alias("representative"), F.count(F.lit(1)).alias("n")))
+    reps = s.join(firsts.select("h", F.col("representative").alias("key")), ["h", "key"]).dropDuplicates(["h"]).select("key", "items")
+    members = join_per_key(s.select("key", "h"), firsts, "h", s.count(), "n").select("key", "representative")
+    return similar_pairs(reps, threshold), members
+
+
 def leader_clusters(keys: DataFrame, pairs: DataFrame) -> DataFrame:
     """Leader clustering in key order: ``(key, leader)``.
 
     A key is a leader unless a lesser key that is a leader is similar to it; else it belongs to the
-    least such leader. ``keys(key)``, ``pairs(a, b)`` with ``a < b``. Rounds settle keys whose lesser
-    neighbours are all settled or one of which leads; each round is cut, their number is the longest
-    chain of dependent decisions, and every round settles at least the least open key of each component.
+    least such leader. ``keys(key)``, ``pairs(a, b)`` with ``a < b``. A round makes leaders of the open
+    keys without open lesser neighbours and closes what they are similar to; only edges between open
+    keys go on to the next, so rounds shrink. Their number is the longest chain of dependent decisions.
     """
     edges = cut(pairs.select(F.col("b").alias("key"), F.col("a").alias("to")).distinct())
-    state = cut(keys.select("key").distinct().join(edges.select("key").distinct().withColumn("open", F.lit(True)), "key", "left").select("key", F.when(F.col("open"), None).otherwise(F.lit(True)).alias("leads")))
-    while state.filter("leads IS NULL").limit(1).count():
-        seen = edges.join(state.withColumnRenamed("key", "to"), "to").groupBy("key").agg(F.max(F.coalesce("leads", F.lit(False))).alias("has"), F.count_if(F.col("leads").isNull()).alias("waits"))
-        step = state.join(seen, "key", "left").select("key", F.coalesce("leads", F.when(F.col("has"), False).when(F.coalesce("waits", F.lit(0)) == 0, True)).alias("leads"))
-        new = cut(step)
-        drop(state)
-        state = new
-    own = state.filter("leads").select("key", F.col("key").alias("leader"))
-    other = edges.join(state.filter("leads").select(F.col("key").alias("to")), "to").join(state.filter("NOT leads").select("key"), "key").groupBy("key").agg(F.min("to").alias("leader"))
+    new = cut(keys.select("key").distinct().join(edges.select("key").distinct(), "key", "left_anti"))
+    leaders, rest = [new], edges
+    while rest.limit(1).count():
+        closed = cut(rest.join(new.withColumnRenamed("key", "to"), "to", "left_semi").select("key").distinct())
+        still = cut(rest.join(closed, "key", "left_anti"))
+        left = cut(still.join(closed.withColumnRenamed("key", "to"), "to", "left_anti"))
+        new = cut(still.select("key").distinct().join(left.select("key").distinct(), "key", "left_anti"))
+        leaders.append(new)
+        for t in (closed, still, *([] if rest is edges else [rest])):
+            drop(t)
+        rest = left
+    chief = leaders[0]
+    for x in leaders[1:]:
+        chief = chief.unionByName(x)
+    chief = cut(chief) if len(leaders) > 1 else chief
+    own = chief.select("key", F.col("key").alias("leader"))
+    other = edges.join(chief.withColumnRenamed("key", "to"), "to").join(chief, "key", "left_anti").groupBy("key").agg(F.min("to").alias("leader"))
     return own.unionByName(other)
 
 
@@ -170,22 +192,46 @@ def first_similar(rows: DataFrame, threshold: float) -> DataFrame:
     return d.select("key", F.coalesce(first, "key").alias("first"), F.when(first.isNull(), "representative").when(F.coalesce("near", F.col("key")) < F.coalesce(exact, F.col("key")), "minhash").otherwise("exact").alias("kind"))
 
 
-def contamination(texts: DataFrame, near: float = 0.85) -> DataFrame:
-    """``texts(key, text, side)`` to pairs ``(train, heldout, kind, score)`` across sides 'train' and 'heldout'.
+def contamination(texts: DataFrame, near: float = 0.85) -> tuple[DataFrame, DataFrame]:
+    """``texts(key, text, side)``, sides 'train' and 'heldout', to ``links`` between classes and ``members``.
 
-    Kinds: exact, normalized, near. All pairs come out; texts of both sides are compared as whole.
+    ``members(key, side, class, exact)`` names each text's class of equal normalized forms on its side,
+    its least key, and the class of bit-equal texts in it; ``links(train, heldout, score, equal)`` joins classes
+    of both sides, ``equal`` where their forms are. All pairs follow from both. Null texts take
+    no part.
     """
-    t = cut(texts.filter("text IS NOT NULL").select("key", "text", "side", normalize(F.col("text")).alias("norm")))
-    a, b = (t.filter(F.col("side") == s).select(F.col("key").alias(s), F.col("text").alias(f"t_{s}"), "norm") for s in ("train", "heldout"))
-    same = a.join(b, "norm").select("train", "heldout", F.when(F.col("t_train") == F.col("t_heldout"), "exact").otherwise("normalized").alias("kind"), F.lit(1.0).alias("score"))
-    reps = t.groupBy("norm", "side").agg(F.min("key").alias("key")).select("norm", "key", "side", word_shingles(F.col("norm")).alias("items"))
-    reps = cut(reps)
-    pairs = similar_pairs(reps, near, sides=True)
-    x = pairs.join(reps.select(F.col("key").alias("a"), F.col("norm").alias("na"), F.col("side").alias("sa")), "a").join(reps.select(F.col("key").alias("b"), F.col("norm").alias("nb")), "b").filter("na <> nb")
+    t = texts.filter("text IS NOT NULL").select("key", "text", "side", normalize(F.col("text")).alias("norm"))
+    t = cut(t.select("key", "side", "norm", F.sha2("norm", 256).alias("form"), F.sha2("text", 256).alias("exact")))
+    firsts = cut(t.groupBy("form", "side").agg(F.min("key").alias("class"), F.count(F.lit(1)).alias("n")))
+    reps = t.join(firsts.select("form", "side", F.col("class").alias("key")), ["form", "side", "key"]).dropDuplicates(["form", "side"])
+    sets = cut(reps.select("key", "side", "form", word_shingles(F.col("norm")).alias("items")))
+    a, b = (firsts.filter(F.col("side") == s).select("form", F.col("class").alias(s)) for s in ("train", "heldout"))
+    same = a.join(b, "form").select("train", "heldout", F.lit(1.0).alias("score"), F.lit(True).alias("equal"))
+    pairs = similar_pairs(sets, near, sides=True)
+    of = sets.select("key", "side", "form")
+    x = pairs.join(of.select(F.col("key").alias("a"), F.col("form").alias("fa"), F.col("side").alias("sa")), "a").join(of.select(F.col("key").alias("b"), F.col("form").alias("fb")), "b").filter("fa <> fb")
     swap = F.col("sa") == "train"
-    x = x.select(F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nt"), F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("nh"), "score")
-    close = x.join(a.withColumnRenamed("norm", "nt"), "nt").join(b.withColumnRenamed("norm", "nh"), "nh").select("train", "heldout", F.lit("near").alias("kind"), "score")
-    return same.unionByName(close)
+    close = x.select(F.when(swap, F.col("a")).otherwise(F.col("b")).alias("train"), F.when(swap, F.col("b")).otherwise(F.col("a")).alias("heldout"), "score", F.lit(False).alias("equal"))
+    sized = firsts.withColumn("form_side", F.concat_ws(":", "side", "form"))
+    members = join_per_key(t.select("key", "exact", F.concat_ws(":", "side", "form").alias("form_side")), sized.select("form_side", "side", "class", "n"), "form_side", t.count(), "n")
+    return same.unionByName(close), members.select("key", "side", "class", "exact")
+
+
+def contamination_counts(texts: DataFrame, near: float = 0.85) -> DataFrame:
+    """One row a held-out text: ``(key, class, exact, normalized, near, best)``, how many training texts it equals or resembles, and the best near score."""
+    links, members = contamination(texts, near)
+    members = cut(members)
+    train = members.filter("side = 'train'")
+    sizes = train.groupBy(F.col("class").alias("train")).agg(F.count(F.lit(1)).alias("n"))
+    copies = train.groupBy("class", "exact").agg(F.count(F.lit(1)).alias("same")).select(F.col("class").alias("train"), "exact", "same")
+    sized = cut(links.join(sizes, "train"))
+    equal = sized.filter("equal")
+    close = sized.filter("NOT equal").groupBy(F.col("heldout").alias("class")).agg(F.sum("n").alias("near"), F.max("score").alias("best"))
+    held = members.filter("side = 'heldout'")
+    per = held.select("class", "exact").distinct().join(equal.select(F.col("heldout").alias("class"), "train", "n"), "class").join(copies, ["train", "exact"], "left").groupBy("class", "exact").agg(F.sum("n").alias("all"), F.sum(F.coalesce("same", F.lit(0))).alias("same"))
+    out = held.join(per, ["class", "exact"], "left").join(close, "class", "left")
+    z = lambda c: F.coalesce(c, F.lit(0))
+    return out.select("key", "class", z(F.col("same")).alias("exact"), (z(F.col("all")) - z(F.col("same"))).alias("normalized"), z(F.col("near")).alias("near"), F.round("best", 9).alias("best"))
 
 
 def exact_overlap(rows: DataFrame) -> DataFrame:
@@ -217,6 +263,10 @@ def _docs(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select(F.col("doc_id").alias("key"), "text")
 
 
+def _sets(s: SparkSession, d: str) -> DataFrame:
+    return _docs(s, d).filter("text IS NOT NULL").select("key", word_shingles(normalize(F.col("text"), compose=False)).alias("items"))
+
+
 def _log_texts(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "production_logs").select("log_id", F.posexplode("messages").alias("i", "m")).select("log_id", F.col("i").alias("msg_idx"), F.col("m.content").alias("content"))
 
@@ -239,12 +289,13 @@ QUERIES = {
     "policy_decisions": lambda s, d: _log_texts(s, d).groupBy("log_id").agg(F.sum(F.coalesce(F.size(sensitive(F.col("content"))), F.lit(0))).alias("findings")).select("log_id", "findings", F.when(F.col("findings") > 0, "rejected").otherwise("accepted").alias("outcome")),
     "exact_dedupe": lambda s, d: shard_representatives(_docs(s, d).select(F.sha2("text", 256).alias("hash"), "key")),
     "normalized_dedupe": lambda s, d: shard_representatives(_docs(s, d).select(F.sha2(normalize(F.col("text"), compose=False), 256).alias("hash"), "key")),
-    "near_dup_pairs": lambda s, d: similar_pairs(_docs(s, d).filter("text IS NOT NULL").select("key", word_shingles(normalize(F.col("text"), compose=False)).alias("items")), 0.85).withColumn("score", F.round("score", 9)),
+    "near_dup_links": lambda s, d: similar_classes(_sets(s, d), 0.85)[0].withColumn("score", F.round("score", 9)),
+    "near_dup_members": lambda s, d: similar_classes(_sets(s, d), 0.85)[1],
     "leader_clusters": lambda s, d: dedupe_texts(_docs(s, d)),
     "minhash_signatures": lambda s, d: minhash(table(s, d, "documents").filter("title IS NOT NULL").groupBy(F.col("title").alias("text")).agg(F.min("doc_id").alias("key"))).groupBy("key").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("seed", "value"))), lambda x: x["value"])).alias("signature")),
     "minhash_text_signatures": lambda s, d: text_signatures(_docs(s, d)),
     "chat_dedupe_first_prior": lambda s, d: first_similar(_chat_bodies(s, d).select("key", "body"), 0.8),
-    "contamination_cross_split": lambda s, d: contamination(_sided(s, d)).withColumn("score", F.round("score", 9)),
+    "contamination_counts": lambda s, d: contamination_counts(_sided(s, d)),
     "contamination_exact_overlap": lambda s, d: exact_overlap(_chat_bodies(s, d)),
     "salted_split": lambda s, d: table(s, d, "documents").select("doc_id", salted_split(F.col("doc_id").cast("string"), "s").alias("split")),
     "embedding_split_compat": lambda s, d: table(s, d, "embedding_records").select("record_id", family_split(F.col("split_group"), "s").alias("compat_split"), family_split(F.col("split_group"), "s", compat=False).alias("split")),
@@ -273,18 +324,21 @@ SQL = {
     "policy_decisions": f"WITH {_LOGS}, f AS (SELECT log_id, sum(coalesce(len({_FIND}), 0))::BIGINT AS findings FROM l GROUP BY 1) SELECT log_id, findings, CASE WHEN findings > 0 THEN 'rejected' ELSE 'accepted' END AS outcome FROM f",
     "exact_dedupe": "SELECT sha256(text) AS hash, min(doc_id) AS representative, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "normalized_dedupe": f"SELECT sha256({_NORM}) AS hash, min(doc_id) AS representative, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1",
-    "near_dup_pairs": f"""WITH {_SETS}, t AS (SELECT key, len(g) AS n, unnest(g) AS h FROM s),
+    "near_dup_links": f"""WITH {_SETS}, r AS (SELECT min(key) AS key, g FROM (SELECT key, list_sort(g) AS g FROM s) GROUP BY g), t AS (SELECT key, len(g) AS n, unnest(g) AS h FROM r),
 p AS (SELECT a.key AS a, b.key AS b, count(*)::DOUBLE AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM t a JOIN t b ON a.h = b.h AND a.key < b.key GROUP BY ALL)
 SELECT a, b, round(k / (na + nb - k), 9) AS score FROM p WHERE k / (na + nb - k) >= 0.85""",
+    "near_dup_members": f"WITH {_SETS} SELECT key, min(key) OVER (PARTITION BY list_sort(g)) AS representative FROM s",
     "minhash_signatures": r"""WITH t AS (SELECT min(doc_id) AS key, regexp_extract_all(lower(title), '[a-z0-9]+') AS w FROM documents WHERE title IS NOT NULL GROUP BY title),
 g AS (SELECT key, list_distinct(CASE WHEN len(w) < 3 THEN w ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) END) AS g FROM t),
 m AS (SELECT key, seed, coalesce(list_min(list_transform(g, lambda x: substr(sha256(seed || ':' || x), 1, 8))), 'ffffffff') AS v FROM g, range(64) r(seed))
 SELECT key, string_agg(v, ',' ORDER BY seed) AS signature FROM m GROUP BY key""",
-    "contamination_cross_split": f"""WITH {_SETS}, y AS (SELECT s.key, n.text, s.norm, s.g, {_UNIT.format("s.key::VARCHAR")} < 0.8 AS train FROM s JOIN n USING (key)),
-same AS (SELECT a.key AS train, b.key AS heldout, CASE WHEN a.text = b.text THEN 'exact' ELSE 'normalized' END AS kind, 1.0::DOUBLE AS score FROM y a JOIN y b ON a.norm = b.norm WHERE a.train AND NOT b.train),
+    "contamination_counts": f"""WITH {_SETS}, y AS (SELECT s.key, n.text, s.norm, s.g, {_UNIT.format("s.key::VARCHAR")} < 0.8 AS train FROM s JOIN n USING (key)),
+same AS (SELECT b.key, count(*) FILTER (WHERE a.text = b.text) AS exact, count(*) FILTER (WHERE a.text <> b.text) AS normalized FROM y a JOIN y b ON a.norm = b.norm WHERE a.train AND NOT b.train GROUP BY 1),
 t AS (SELECT key, train, norm, len(g) AS n, unnest(g) AS h FROM y),
-p AS (SELECT a.key AS train, b.key AS heldout, count(*)::DOUBLE AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM t a JOIN t b ON a.h = b.h AND a.train AND NOT b.train AND a.norm <> b.norm GROUP BY ALL)
-SELECT * FROM same UNION ALL SELECT train, heldout, 'near', round(k / (na + nb - k), 9) FROM p WHERE k / (na + nb - k) >= 0.85""",
+p AS (SELECT a.key AS train, b.key AS key, count(*)::DOUBLE AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM t a JOIN t b ON a.h = b.h AND a.train AND NOT b.train AND a.norm <> b.norm GROUP BY ALL),
+c AS (SELECT key, count(*) AS near, max(k / (na + nb - k)) AS best FROM p WHERE k / (na + nb - k) >= 0.85 GROUP BY 1)
+SELECT key, min(key) OVER (PARTITION BY norm) AS class, coalesce(exact, 0) AS exact, coalesce(normalized, 0) AS normalized, coalesce(near, 0) AS near, round(best, 9) AS best
+FROM y LEFT JOIN same USING (key) LEFT JOIN c USING (key) WHERE NOT train""",
     "contamination_exact_overlap": f"WITH {_BODIES}, t AS (SELECT body, count(*) AS n FROM b WHERE split = 'train' GROUP BY 1) SELECT key, split, coalesce(n, 0)::BIGINT AS train_rows FROM b LEFT JOIN t USING (body) WHERE split <> 'train'",
     "salted_split": f"SELECT doc_id, {_SPLIT} AS split FROM (SELECT doc_id, {_UNIT.format('doc_id::VARCHAR')} AS u FROM documents)",
     "embedding_split_compat": f"""SELECT record_id, {_SPLIT.replace("u <", "c <")} AS compat_split, {_SPLIT} AS split FROM (SELECT record_id, {_FAMILY} / 9007199254740991::DOUBLE AS c, {_FAMILY} / 4503599627370495::DOUBLE AS u FROM embedding_records)""",

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import cosine, length_bucket, listwise_kl, margin_mse, pairwise_logistic, softplus
+from corvane.plans.ranks import running
 from corvane.session import table
 
 
@@ -35,10 +36,8 @@ def retrieval_metrics(scored: DataFrame, relevant: DataFrame, k: int = 10, slice
 
 def average_ranks(df: DataFrame, c: str, out: str) -> DataFrame:
     """Fractional ranks, ties share the mean; over value counts, so equal values of any number are one row of the sort."""
-    counts = df.groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select(c, (before + (F.col("_n") + 1) / 2).alias(out))
-    return df.join(ranks, c)
+    counts = running(df.groupBy(c).agg(F.count(F.lit(1)).alias("_n")), [F.col(c)], F.col("_n"), "_before")
+    return df.join(counts.select(c, (F.col("_before") + (F.col("_n") + 1) / 2).alias(out)), c)
 
 
 def correlations(pairs: DataFrame) -> DataFrame:
@@ -79,11 +78,13 @@ def bootstrap_interval(values: list[float], seed: int, samples: int) -> dict[str
     """Percentile interval of the mean with draws from a 32-bit linear congruential generator; for a metric's per-query values."""
     if not values:
         raise ValueError("no values")
+    # Multiplier and increment of the generator.
+    multiplier, increment = 1664525, 1013904223
     n = len(values)
     v = np.asarray(values, float)
     state, idx = seed & 0xFFFFFFFF, np.empty(samples * n, np.int64)
     for i in range(samples * n):
-        state = (1664525 * state + 1013904223) & 0xFFFFFFFF
+        state = (multiplier * state + increment) & 0xFFFFFFFF
         idx[i] = state * n >> 32
     draws = np.sort(v[idx].reshape(samples, n).mean(axis=1))
     return {"value": float(v.mean()), "low": float(draws[int(samples * 0.025)]), "high": float(draws[min(samples - 1, int(samples * 0.975))])}
@@ -121,12 +122,27 @@ def topk_targets(logits: DataFrame, k: int) -> DataFrame:
     return top.select("key", F.transform("t", lambda x: x["i"]).alias("positions"), F.transform("t", lambda x: -x["m"]).alias("probabilities"), (1 - F.aggregate("t", F.lit(0.0), lambda s, x: s - x["m"])).alias("residual"))
 
 
+#: Queries that one task compares its candidates with at a time, and parts that each block of queries' candidates are cut into.
+BLOCK_QUERIES, PARTS = 2_000, 32
+
+
+def score_all(queries: DataFrame, candidates: DataFrame, n_queries: int) -> DataFrame:
+    """``queries(query, x, ...)`` against all ``candidates(candidate, y, ...)`` in blocks: every pair once, with its cosine.
+
+    A task holds at most about ``BLOCK_QUERIES`` queries and one part of the candidates; nothing is broadcast.
+    """
+    blocks = max(1, -(-n_queries // BLOCK_QUERIES))
+    q = queries.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    c = candidates.withColumn("part", F.pmod(F.xxhash64("candidate"), F.lit(PARTS)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return c.join(q.hint("shuffle_hash"), ["block", "part"]).withColumn("score", F.round(cosine(F.col("x"), F.col("y")), 9)).drop("block", "part", "x", "y")
+
+
 def _similar(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Every hundredth vector against all others; relevant are those of its label."""
     e = table(s, d, "embeddings").filter("embedding IS NOT NULL")
     q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("x"), F.col("label").alias("ql"))
-    pairs = e.select(F.col("vec_id").alias("candidate"), F.col("embedding").alias("y"), "label").crossJoin(F.broadcast(q)).filter("query <> candidate")  # a stated query set against all rows
-    scored = pairs.select("query", "candidate", F.round(cosine(F.col("x"), F.col("y")), 9).alias("score"), "ql", (F.col("label") == F.col("ql")).alias("rel"))
+    pairs = score_all(q, e.select(F.col("vec_id").alias("candidate"), F.col("embedding").alias("y"), "label"), q.count()).filter("query <> candidate")
+    scored = pairs.select("query", "candidate", "score", "ql", (F.col("label") == F.col("ql")).alias("rel"))
     return scored, scored.filter("rel").select("query", "candidate")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.plans.cut import cut, drop
+from corvane.plans.ranks import numbered
 from corvane.session import table
 
 
@@ -76,8 +77,8 @@ def rank_capacity(candidates: DataFrame, data_center: str, minimum: int) -> Data
     """``candidates(name, vram, data_center, hourly, available)``: fitting ones first, then by price; with the reasons against each."""
     why = F.array_compact(F.array(F.when(F.col("available") < 1, "capacity"), F.when(F.col("data_center") != data_center, "volume-locality"), F.when(F.col("vram") < minimum, "vram")))
     c = candidates.withColumn("reasons", F.array_join(why, ",")).withColumn("compatible", F.size(why) == 0)
-    blocks = Window.orderBy(F.desc("compatible"), "hourly", "name")  # a short list of offers
-    return c.select("name", "compatible", "reasons", F.row_number().over(blocks).alias("rank"))
+    ranked = numbered(c.select("name", "compatible", "reasons", "hourly"), [F.desc("compatible"), F.asc("hourly"), F.asc("name")], "rank")
+    return ranked.select("name", "compatible", "reasons", F.col("rank").cast("int").alias("rank"))
 
 
 def recover_checkpoint(checkpoints: DataFrame) -> DataFrame:

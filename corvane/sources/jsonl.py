@@ -2,40 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.canonical import canonical_json
+from corvane.functions.text import trim_all
+from corvane.plans.cut import cut
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of JSONL files: ``(path, line, byte_offset, value)``; blank lines are counted but left out.
 
-    A line number depends on all lines before it, so each file is read by one task as a stream of
-    its bytes; many files are many tasks. Split large exports into files (``write_lines`` does).
+    Files of any size are read in splits. Lines and bytes are numbered within a split and moved on by
+    those of the file's splits before it, of which there is one row each.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for p, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                at, rows = 0, ([], [], [], [])
-                for n, raw in enumerate(content.split(b"\n"), 1):
-                    text = raw.decode("utf-8", "replace").removesuffix("\r")
-                    if text.strip():
-                        for c, x in zip(rows, (p, n, at, text), strict=True):
-                            c.append(x)
-                    at += len(raw) + 1
-                    if len(rows[0]) == 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2]), pa.array(rows[3])], ["path", "line", "byte_offset", "value"])
-                        rows = ([], [], [], [])
-                if rows[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2]), pa.array(rows[3])], ["path", "line", "byte_offset", "value"])
-
-    return files.mapInArrow(split, "path string, line long, byte_offset long, value string")
+    raw = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    rows = cut(raw.withColumn("bytes", F.octet_length("value").cast("long") + 1))
+    w = Window.partitionBy("path", "block").orderBy("at")
+    done = w.rowsBetween(Window.unboundedPreceding, -1)
+    per = rows.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("size"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per.select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lines_before"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("bytes_before"))
+    own = rows.withColumn("n", F.row_number().over(w)).withColumn("off", F.coalesce(F.sum("bytes").over(done), F.lit(0)))
+    text = F.regexp_replace("value", "\r$", "")
+    out = own.join(starts, ["path", "block"]).select("path", (F.col("lines_before") + F.col("n")).alias("line"), (F.col("bytes_before") + F.col("off")).alias("byte_offset"), text.alias("value"))
+    return out.filter(trim_all(F.col("value")) != "")
 
 
 def parse_lines(lines: DataFrame, mode: str = "fail") -> DataFrame:
