@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -105,20 +105,29 @@ def leader_clusters(keys: DataFrame, pairs: DataFrame) -> DataFrame:
     return own.unionByName(other)
 
 
-def dedupe_texts(rows: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """``rows(key, text)`` to ``(key, leader, method)``: exact, normalized or near duplicate of the leader; null for leaders.
+def dedupe_texts(rows: DataFrame, threshold: float = 0.85, semantic: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``rows(key, text)`` to ``(key, leader, method)``: exact, normalized, near or semantic duplicate of the leader; null for leaders.
 
     Equal normalized texts are collapsed before the near join; they stand in the same cluster,
-    as equal texts are as similar to every leader.
+    as equal texts are as similar to every leader. ``semantic(texts(key, text))`` gives further
+    similar pairs ``(a, b)``, ``a < b``, of the texts left, as a vector search finds them.
     """
     norm = cut(rows.filter("text IS NOT NULL").select("key", "text", normalize(F.col("text")).alias("norm")))
     firsts = norm.groupBy("norm").agg(F.min("key").alias("first"))
     reps = firsts.select(F.col("first").alias("key"), word_shingles(F.col("norm")).alias("items"))
-    lead = cut(leader_clusters(reps, similar_pairs(reps, threshold)))
+    pairs = similar_pairs(reps, threshold).select("a", "b")
+    close = pairs.select(F.col("b").alias("first"), F.col("a").alias("lf"), F.lit(True).alias("by_words"))
+    if semantic is not None:
+        pairs = pairs.unionByName(semantic(firsts.select(F.col("first").alias("key"), F.col("norm").alias("text"))).select("a", "b"))
+    lead = cut(leader_clusters(reps, pairs))
     of = norm.join(firsts, "norm").join(lead.withColumnRenamed("key", "first"), "first")
     chief = norm.select(F.col("key").alias("leader"), F.col("text").alias("lt"), F.col("norm").alias("ln"))
     method = F.when(F.col("key") == F.col("leader"), None).when(F.col("text") == F.col("lt"), "exact").when(F.col("norm") == F.col("ln"), "normalized").otherwise("near")
-    return of.join(chief, "leader").select("key", "leader", method.alias("method"))
+    got = of.join(chief, "leader").select("key", "leader", "first", method.alias("method"))
+    if semantic is None:
+        return got.select("key", "leader", "method")
+    other = (F.col("method") == "near") & F.col("by_words").isNull()
+    return got.join(close.withColumnRenamed("lf", "leader"), ["first", "leader"], "left").select("key", "leader", F.when(other, "semantic").otherwise(F.col("method")).alias("method"))
 
 
 def minhash(rows: DataFrame, seeds: int = SEEDS) -> DataFrame:
@@ -234,6 +243,17 @@ def contamination_counts(texts: DataFrame, near: float = 0.85) -> DataFrame:
     return out.select("key", "class", z(F.col("same")).alias("exact"), (z(F.col("all")) - z(F.col("same"))).alias("normalized"), z(F.col("near")).alias("near"), F.round("best", 9).alias("best"))
 
 
+def benchmark_exclusions(texts: DataFrame, benchmark: DataFrame, near: float = 0.85) -> DataFrame:
+    """``texts(key, text)`` that equal or resemble a ``benchmark(key, text)``: ``(key, benchmark_class, kind, score)``, kind 'benchmark'.
+
+    Benchmark texts with the same normalized form are one class under their least key.
+    """
+    sides = texts.select(F.struct(F.lit(0).alias("s"), "key").alias("key"), "text", F.lit("train").alias("side")).unionByName(benchmark.select(F.struct(F.lit(1).alias("s"), "key").alias("key"), "text", F.lit("heldout").alias("side")))
+    links, members = contamination(sides, near)
+    hit = members.filter("side = 'train'").join(links.select(F.col("train").alias("class"), "heldout", "score"), "class")
+    return hit.select("key.key", F.col("heldout.key").alias("benchmark_class"), F.lit("benchmark").alias("kind"), "score")
+
+
 def exact_overlap(rows: DataFrame) -> DataFrame:
     """``rows(key, body, split)``: for each row outside train how many train rows have the same lower-cased body."""
     low = rows.withColumn("low", F.lower("body"))

@@ -131,6 +131,57 @@ def judge_scores(scores: DataFrame) -> DataFrame:
     return scores.groupBy("candidate").agg(*(F.round(F.avg(clamp(F.col(c))), 9).alias(c) for c in ("d1", "d2", "d3", "d4")), F.round(F.max(clamp(F.col("quality"))) - F.min(clamp(F.col("quality"))), 9).alias("disagreement"))
 
 
+def submit_within(requests: DataFrame, budget: float) -> DataFrame:
+    """``requests(batch, seq, request, estimate)`` with ``outcome``: a repeated request is skipped, one that would pass the budget is refused."""
+    first = F.row_number().over(Window.partitionBy("batch", "request").orderBy("seq")) == 1
+    d = requests.withColumn("first", first)
+    spent = F.sum(F.when(F.col("first"), F.col("estimate")).otherwise(0.0)).over(Window.partitionBy("batch").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    return d.select("batch", "seq", "request", F.when(~F.col("first"), "duplicate").when(spent > budget, "over-budget").otherwise("submitted").alias("outcome"))
+
+
+def dispatch(tasks: DataFrame) -> DataFrame:
+    """The next task of each fleet: the queued one of ``tasks(fleet, seq, task, state, owner)`` that came first, and how many wait."""
+    q = F.col("state") == "queued"
+    return tasks.groupBy("fleet").agg(F.min_by("task", F.when(q, F.col("seq"))).alias("task"), F.count_if(q).alias("waiting"), F.count_if(q & F.col("owner").isNotNull()).alias("owned")).filter("task IS NOT NULL")
+
+
+def orphans(found: DataFrame, known: DataFrame) -> DataFrame:
+    """Resources ``found(id)`` that no ``known(id)`` accounts for."""
+    return found.select("id").distinct().join(known.select("id"), "id", "left_anti")
+
+
+def leases(events: DataFrame) -> DataFrame:
+    """Outcome of each step of ``events(lock, seq, at, owner, action, ttl)``; a lock's steps are folded in order.
+
+    ``acquire`` is granted where the lock is free, expired or the owner's; ``renew`` and ``release`` only to
+    the owner while it holds. Result ``(lock, seq, granted, holder)``.
+    """
+    import pandas as pd
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        holder, until, out = None, -1, []
+        for lock, seq, at, owner, action, ttl in pdf.sort_values("seq")[["lock", "seq", "at", "owner", "action", "ttl"]].itertuples(index=False):
+            live = holder is not None and at < until
+            ok = (not live or holder == owner) if action == "acquire" else live and holder == owner
+            if ok:
+                holder, until = (None, -1) if action == "release" else (owner, at + ttl)
+            out.append((lock, seq, ok, holder if holder is not None and at < until else None))
+        return pd.DataFrame(out, columns=["lock", "seq", "granted", "holder"])
+
+    return events.groupBy("lock").applyInPandas(one, "lock string, seq long, granted boolean, holder string")
+
+
+def review_breaks(reviews: DataFrame) -> DataFrame:
+    """``reviews(subject, seq, decision, reviewer, previous)`` whose ``previous`` is not the hash of the decision before: ``(subject, seq)``."""
+    digest = F.sha2(F.concat_ws("\x00", F.col("subject"), F.col("seq").cast("string"), F.col("decision"), F.col("reviewer")), 256)
+    return chain_breaks(reviews.select(F.col("subject").alias("chain"), "seq", digest.alias("digest"), "previous")).select(F.col("chain").alias("subject"), "seq")
+
+
+def classify_failure(status: Column) -> Column:
+    """What a failed call's HTTP status asks for: again, later, or no more."""
+    return F.when(status == 429, "rate-limited").when((status == 408) | (status >= 500), "retryable").when(status.isin(401, 403), "credentials").otherwise("permanent")
+
+
 def _ev(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events")
 
@@ -149,8 +200,23 @@ def _chain(s: SparkSession, d: str) -> DataFrame:
     return chain_breaks(e.withColumn("previous", F.when(F.col("event_type") == "purchase", "x").otherwise(prior)).select("chain", "seq", "digest", "previous"))
 
 
+def _submit(s: SparkSession, d: str) -> DataFrame:
+    o = table(s, d, "orders")
+    return submit_within(o.select(F.col("o_custkey").alias("batch"), F.col("o_orderkey").alias("seq"), F.col("o_orderdate").alias("request"), F.col("o_totalprice").alias("estimate")), 600000.0).select("batch", "seq", "outcome")
+
+
+def _dispatch(s: SparkSession, d: str) -> DataFrame:
+    e = _ev(s, d)
+    return dispatch(e.select(F.col("user_id").alias("fleet"), F.col("event_id").alias("seq"), F.col("event_id").alias("task"), F.when(F.col("event_type") == "click", "queued").otherwise("running").alias("state"), F.when(F.col("value") > 50, "w").alias("owner")))
+
+
+def _orphans(s: SparkSession, d: str) -> DataFrame:
+    return orphans(table(s, d, "customer").select(F.col("c_custkey").alias("id")), table(s, d, "orders").select(F.col("o_custkey").alias("id")))
+
+
 _PRICES = [("click", 1.0, 2.0), ("view", 0.5, 1.0), ("purchase", 3.0, 6.0)]
 QUERIES = {
+    "batch_submit": _submit, "fleet_dispatch": _dispatch, "fleet_orphans": _orphans,
     "budget_running_total": lambda s, d: running_budget(table(s, d, "orders").select(F.col("o_custkey").alias("stage"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("cost")), 500000.0).select("stage", "seq", F.round("spent", 2).alias("spent"), "ok"),
     "provider_cost_rollup": lambda s, d: cost_rollup(_ev(s, d).select(F.col("event_type").alias("role"), F.col("event_type").alias("model"), F.floor("value").alias("input_tokens"), F.col("event_id").alias("output_tokens")), s.createDataFrame(_PRICES, "model string, input_price double, output_price double")),
     "rate_window_usage": lambda s, d: rate_windows(_ev(s, d), "60 seconds", 1),
@@ -171,6 +237,9 @@ QUERIES = {
 }
 _CL = "greatest(0.0, least(1.0, coalesce({}, 0.0)))::DOUBLE"
 SQL = {
+    "batch_submit": "WITH f AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey) = 1 AS f FROM orders), s AS (SELECT *, sum(CASE WHEN f THEN o_totalprice ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS s FROM f) SELECT o_custkey AS batch, o_orderkey AS seq, CASE WHEN NOT f THEN 'duplicate' WHEN s > 600000 THEN 'over-budget' ELSE 'submitted' END AS outcome FROM s",
+    "fleet_dispatch": "SELECT user_id AS fleet, min(event_id) AS task, count(*) AS waiting, count(*) FILTER (WHERE value > 50) AS owned FROM events WHERE event_type = 'click' GROUP BY 1",
+    "fleet_orphans": "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "budget_running_total": "WITH x AS (SELECT o_custkey AS stage, o_orderkey AS seq, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS s FROM orders) SELECT stage, seq, round(s, 2) AS spent, s <= 500000.0 AS ok FROM x",
     "provider_cost_rollup": "WITH p(model, i, o) AS (VALUES ('click', 1.0, 2.0), ('view', 0.5, 1.0), ('purchase', 3.0, 6.0)) SELECT event_type AS role, sum(floor(value)::BIGINT)::BIGINT AS input_tokens, sum(event_id)::BIGINT AS output_tokens, round(sum(coalesce((floor(value) * i::DOUBLE + event_id * o::DOUBLE) / 1e6, 0)), 6) AS cost, count(*) FILTER (WHERE i IS NULL) AS unpriced FROM events LEFT JOIN p ON model = event_type GROUP BY 1",
     "rate_window_usage": "SELECT time_bucket(INTERVAL '60 seconds', ts) AS start, count(*) AS calls, greatest(count(*) - 1, 0) AS over FROM events GROUP BY 1",

@@ -185,7 +185,27 @@ def _whole_components(s: SparkSession, d: str) -> DataFrame:
     return connected_components(lineage_keys(*_e(s, d, "records", "texts"))).select(F.col("record").alias("record_id"), "component")
 
 
+def split_families(records: DataFrame, texts: DataFrame, salt: str, compat: bool = True, train: float = 0.8, validation: float = 0.1) -> DataFrame:
+    """Every record's family over all its keys, and its split by the salted hash of the family's root, the least key in it.
+
+    ``(record_id, root, split)``; a record without any key is a family of its own under its id.
+    """
+    from corvane.operators.components import connected_components
+    from corvane.operators.dedupe import family_split
+    from corvane.plans.cut import cut
+    from corvane.plans.skew import join_per_key
+
+    keys = cut(lineage_keys(records, texts))
+    of = cut(connected_components(keys))
+    sizes = of.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    roots = keys.filter(F.trim("key") != "").join(of, "record").groupBy("component").agg(F.min("key").alias("root"))
+    per = sizes.join(roots, "component", "left").withColumn("root", F.coalesce("root", "component"))
+    per = per.withColumn("split", family_split(F.col("root"), salt, compat, train, validation))
+    return join_per_key(of, per, "component", of.count(), "n").select(F.col("record").alias("record_id"), "root", "split")
+
+
 QUERIES = {
+    "family_splits": lambda s, d: split_families(*_e(s, d, "records", "texts"), "s", compat=False),
     "lineage_components": _components,
     "lineage_components_whole": _whole_components,
     "import_decode": lambda s, d: decode_rows(table(s, d, "import_records").select(F.col("row_key").alias("key"), "payload"), "group").select("key", "task", "group", F.col("query"), F.length("document").alias("document_chars"), "error"),
@@ -246,3 +266,7 @@ SELECT min(example_id) AS example_id, count(DISTINCT example_id) AS copies FROM
  AND NOT regexp_matches(text, '{_EM}') AND NOT regexp_matches(text, '{_PH}') AND NOT regexp_matches(text, '{_SE}') AND {_TRIM} <> '' GROUP BY lower(text)""",
     "provenance_manifest": "SELECT array_to_string(list_sort(list(DISTINCT kind) FILTER (WHERE kind IS NOT NULL)), ',') AS kinds, array_to_string(list_sort(list(DISTINCT revision) FILTER (WHERE revision IS NOT NULL)), ',') AS revisions, count(DISTINCT split_group) AS groups, count(*) AS records FROM embedding_records",
 }
+SQL["family_splits"] = SQL["lineage_components_whole"].rsplit("SELECT r AS record_id", 1)[0].rstrip() + """,
+z AS (SELECT n.record_id AS r, coalesce(c, n.record_id) AS c FROM n LEFT JOIN c ON r = n.record_id), g AS (SELECT c, min(k) AS root FROM z JOIN p USING (r) GROUP BY c),
+f AS (SELECT r, coalesce(root, z.c) AS root FROM z LEFT JOIN g ON g.c = z.c), hu AS (SELECT *, ('0x' || substr(sha256(to_json('s' || chr(0) || root)::VARCHAR), 1, 13))::BIGINT / 4503599627370495::DOUBLE AS u FROM f)
+SELECT r AS record_id, root, CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.8::DOUBLE + 0.1::DOUBLE THEN 'validation' ELSE 'test' END AS split FROM hu"""

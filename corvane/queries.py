@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.operators import chat, dedupe, distill, evaluate, formats, ledger, records, report
+from corvane.operators import chat, contracts, dedupe, distill, evaluate, formats, ledger, records, report
 
-_MODULES: tuple = (chat, dedupe, distill, evaluate, formats, ledger, records, report)
+_MODULES: tuple = (chat, contracts, dedupe, distill, evaluate, formats, ledger, records, report)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
