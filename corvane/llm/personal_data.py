@@ -48,6 +48,10 @@ def token_bounds(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, start + lengths, mix(np.add.reduceat(value, first) ^ lengths.astype(np.uint64))
 
 
+def _digits(w: str) -> int:
+    return 0 if w.isalpha() else len(w) if w.isdigit() else sum(c.isdigit() for c in w)
+
+
 @cache
 def _given() -> frozenset[str]:
     return frozenset(x.lower() for x in GIVEN)
@@ -58,19 +62,29 @@ def _family() -> frozenset[str]:
     return frozenset(x.lower() for x in FAMILY)
 
 
+def _shape(w: str) -> str:
+    """Digits, capitals and other letters as d, X and x, runs of one as it and a plus."""
+    if w.isalpha():
+        if w.islower():
+            return "x+" if len(w) > 1 else "x"
+        if w[0].isupper() and w[1:].islower():
+            return "Xx+" if len(w) > 2 else "Xx"
+    return re.sub(r"(.)\1+", r"\1+", "".join("d" if c.isdigit() else "X" if c.isupper() else "x" for c in w))
+
+
 def word_features(w: str) -> list[str]:
     """Features of one token: itself, shape, ends, digits."""
     low = w.lower()
     if not (w[0].isalnum()):
         return ["p" + w, "punct"]
     out = []
-    digits = sum(c.isdigit() for c in w)
+    digits = _digits(w)
     if digits == len(w):
         out += [f"d{min(len(w), 16)}", f"d{min(len(w), 16)}^{w[:2]}", "digits"]
         if len(w) <= 4:
             out.append("w" + w)
     else:
-        shape = re.sub(r"(.)\1+", r"\1+", "".join("d" if c.isdigit() else "X" if c.isupper() else "x" for c in w))
+        shape = _shape(w)
         out += ["s" + shape[:12], "w" + low, "e" + low[-3:], "f" + low[-4:], "g" + low[-2:]]
         if digits:
             out += ["mixed", f"m{min(len(w), 20)}", f"n{min(digits, 16)}"]
@@ -97,7 +111,7 @@ def word_class(w: str) -> int:
     """The class of one token."""
     if not w[0].isalnum():
         return 3 + MARKS.index(w) if w in MARKS else 3 + MARKS.index("'") if w == "’" else 2
-    digits = sum(c.isdigit() for c in w)
+    digits = _digits(w)
     if digits == len(w):
         return _DIGITS + min(digits, 10) - 1
     if digits:
@@ -136,6 +150,7 @@ class Crf:
         self.index, self.words, self.gaps, self.steps, self.threes, self.three_weights = index, words, gaps, steps, threes, three_weights
         self.row_of = np.zeros(3 * CLASSES**3, np.int32)  # threes that were not seen take the zero row
         self.row_of[threes] = np.arange(len(threes)) + 1
+        self.of_gaps = (gaps[4:7, None] + gaps[None, :3]).reshape(9, -1).astype(np.float32)  # by the gap after and before
         self.of_three = np.concatenate([np.zeros((1, len(LABELS)), np.float32), three_weights])
         self.known = np.empty(0, np.uint64)
         self.scores = np.empty((0, len(OFFSETS) * len(LABELS)), np.float32)
@@ -196,35 +211,35 @@ class Crf:
             self.known = np.concatenate([self.known, uniq[new]])[order]
             self.scores = np.concatenate([self.scores, s])[order]
             self.kinds = np.concatenate([self.kinds, np.array([word_class(w) for w in new_words], np.int64)])[order]
-        row = np.searchsorted(self.known, uniq)[kind]
-        n, k = len(h), len(LABELS)
-        e = self.gaps[gap_before(cp, start)].astype(np.float32)
-        for i, three in enumerate(in_threes(self.kinds[row], owner, np.cumsum(cp == 10)[start])):
-            e += self.of_three[self.row_of[three + i * CLASSES**3]]
+        row = np.searchsorted(self.known, uniq)
+        n, k, none = len(h), len(LABELS), len(uniq)
+        gap = gap_before(cp, start)
         nxt = np.zeros(n, np.int64)
         if n:
-            nxt[:-1] = np.where(owner[1:] == owner[:-1], gap_before(cp, start)[1:], 0)
-        e += self.gaps[4 + nxt]
+            nxt[:-1] = np.where(owner[1:] == owner[:-1], gap[1:], 0)
+        e = self.of_gaps[3 * nxt + gap]
+        for i, three in enumerate(in_threes(self.kinds[row][kind], owner, np.cumsum(cp == 10)[start])):
+            e += self.of_three[self.row_of[three + i * CLASSES**3]]
+        # the batch's own words, a few thousand, stay in the processor's cache; the row after them is zero
+        own = np.concatenate([self.scores[row], np.zeros((1, self.scores.shape[1]), np.float32)]).reshape(none + 1, len(OFFSETS), k).transpose(1, 0, 2).copy()
         for j, o in enumerate(OFFSETS):
             lo, hi = max(0, -o), min(n, n - o)
             if lo < hi:
-                part = self.scores[row[lo + o : hi + o], j * k : (j + 1) * k]
-                part[owner[lo + o : hi + o] != owner[lo:hi]] = 0  # a copy, as rows are taken by index
-                e[lo:hi] += part
+                e[lo:hi] += own[j][np.where(owner[lo + o : hi + o] == owner[lo:hi], kind[lo + o : hi + o], none)]
         return e
 
     def decode(self, e: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Best labels of each sequence; ``last`` marks the tokens that end one.
 
-        Where "O" leads by more than any change of two steps can make up, the best path is "O";
-        only the islands between such tokens need Viterbi's recursion. The labels are those of the
-        full recursion.
+        Where "O" leads every other label by more than the steps around it can make up, whatever stands
+        beside it, the best path is "O"; only the islands between such tokens need Viterbi's recursion.
+        The labels are those of the full recursion.
         """
         t = self.steps
-        spread = float(t.max() - t.min())
         n = len(e)
         out = np.zeros(n, np.int64)
-        open_ = e[:, 1:].max(axis=1) + 2 * spread >= e[:, 0]
+        gain = np.maximum(0, (t - t[:, :1]).max(axis=0)) + np.maximum(0, (t - t[:1]).max(axis=1))  # at most, by label
+        open_ = (e[:, 1:] + gain[1:]).max(axis=1) >= e[:, 0]
         if not open_.any():
             return out
         joined = np.zeros(n, bool)
@@ -244,21 +259,18 @@ class Crf:
             stop = s + max(1, min(4096, CELLS // width))
             ln, b0, bf, af = (x[s:stop] for x in (lengths, begins, before, after))
             s = stop
-            back = np.zeros((width, len(ln), len(LABELS)), np.int8)
-            score = e[b0] + bf[:, None] * t[0]
-            alive = len(ln)
+            scores = np.empty((width, len(ln), len(LABELS)), np.float32)
+            scores[0] = e[b0] + bf[:, None] * t[0]
+            final = scores[0].copy()
             for i in range(1, width):
                 alive = int(np.searchsorted(-ln, -i))
-                step = score[:alive, :, None] + t
-                back[i, :alive] = step.argmax(axis=1)
-                score[:alive] = step.max(axis=1) + e[b0[:alive] + i]
-            score = score + af[:, None] * t[:, 0]
-            y = score.argmax(axis=1)
+                final[:alive] = scores[i, :alive] = (scores[i - 1, :alive, :, None] + t).max(axis=1) + e[b0[:alive] + i]
+            y = (final + af[:, None] * t[:, 0]).argmax(axis=1)
             for i in range(width - 1, -1, -1):
                 alive = int(np.searchsorted(-ln, -i))
                 out[b0[:alive] + i] = y[:alive]
-                if i:
-                    y[:alive] = back[i, np.arange(alive), y[:alive]]
+                if i:  # the step that led here
+                    y[:alive] = (scores[i - 1, :alive] + t[:, y[:alive]].T).argmax(axis=1)
         return out
 
 
@@ -400,6 +412,10 @@ def find_items(model: Crf, texts: list[str | None]) -> list[list[tuple[int, int,
 
     An item never goes on in the next line; one without what all of its type have is none.
     """
+    distinct = list(dict.fromkeys(texts))
+    if len(distinct) < len(texts):  # repeated texts are read once
+        found = dict(zip(distinct, find_items(model, distinct), strict=True))
+        return [list(found[t]) for t in texts]
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     clean = [(t or "") for t in texts]
     joined = "\n".join(clean) + "\n"
@@ -460,8 +476,8 @@ def default_model() -> Crf:
 ITEMS = "array<struct<part: int, kind: string, found: string, start: int>>"
 
 
-def mark_items(rows: DataFrame) -> DataFrame:
-    """``rows(..., texts array<string>)`` with ``items`` (type, text and place of each) and ``clean`` (texts with placeholders).
+def mark_items(rows: DataFrame, mask: bool = True) -> DataFrame:
+    """``rows(..., texts array<string>)`` with ``items`` (type, text and place of each) and ``clean`` (texts with placeholders; not without ``mask``).
 
     A null array gives null items and texts, a null text stays null, a text without an item stays
     as it is to the last character. Items inside another item do not count. Every text is read
@@ -470,7 +486,7 @@ def mark_items(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     model = spark.sparkContext.broadcast(default_model())  # a few megabytes, whatever the data
     kinds = [(f.name, f.dataType.simpleString()) for f in rows.schema]
-    schema = ", ".join(f"`{n}` {t}" for n, t in kinds) + f", items {ITEMS}, clean array<string>"
+    schema = ", ".join(f"`{n}` {t}" for n, t in kinds) + f", items {ITEMS}" + (", clean array<string>" if mask else "")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -488,11 +504,13 @@ def mark_items(rows: DataFrame) -> DataFrame:
                 for i, t in enumerate(x):
                     s = next(spans)
                     found += [{"part": i, "kind": k, "found": t[a:z], "start": a} for a, z, k in s]
-                    new.append(masked(t, s) if s else t)
+                    if mask:
+                        new.append(masked(t, s) if s else t)
                 items.append(found)
                 clean.append(new)
             kind = pa.list_(pa.struct([("part", pa.int32()), ("kind", pa.string()), ("found", pa.string()), ("start", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(items, kind), pa.array(clean, pa.list_(pa.string()))], [*b.schema.names, "items", "clean"])
+            more = [pa.array(clean, pa.list_(pa.string()))] if mask else []
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(items, kind), *more], [*b.schema.names, "items", *(["clean"] if mask else [])])
 
     return rows.mapInArrow(mark, schema)
 
@@ -506,7 +524,7 @@ def _messages(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Each different item once per message."""
-    got = mark_items(_messages(spark, d)).select("rec_id", "msg_idx", F.explode("items").alias("i"))
+    got = mark_items(_messages(spark, d), mask=False).select("rec_id", "msg_idx", F.explode("items").alias("i"))
     return got.select("rec_id", "msg_idx", F.col("i.kind").alias("pii_type"), F.col("i.found").alias("found_text")).distinct()
 
 
