@@ -69,7 +69,9 @@ def similar_classes(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataF
     of keys follow from both, and a class of copies of any size is one row of the join. Empty and null
     sets are in no class.
     """
-    s = cut(sets.filter(F.size("items") > 0).select("key", F.array_sort(F.array_distinct("items")).alias("items")).withColumn("h", F.sha2(F.to_json("items"), 256)))
+    hashed = F.array_sort(F.array_distinct(F.transform("items", lambda x: F.xxhash64(x))))
+    s = sets.filter(F.size("items") > 0).select("key", hashed.alias("items"))
+    s = cut(s.withColumn("h", F.concat_ws("-", F.xxhash64("items").cast("string"), F.xxhash64(F.lit(7), "items").cast("string"))))  # two hashes, 128 bits
     firsts = cut(s.groupBy("h").agg(F.min("key").alias("representative"), F.count(F.lit(1)).alias("n")))
     reps = s.join(firsts.select("h", F.col("representative").alias("key")), ["h", "key"]).dropDuplicates(["h"]).select("key", "items")
     members = join_per_key(s.select("key", "h"), firsts, "h", s.count(), "n").select("key", "representative")
@@ -213,7 +215,7 @@ def contamination(texts: DataFrame, near: float = 0.85) -> tuple[DataFrame, Data
     t = cut(t.select("key", "side", "norm", F.sha2("norm", 256).alias("form"), F.sha2("text", 256).alias("exact")))
     firsts = cut(t.groupBy("form", "side").agg(F.min("key").alias("class"), F.count(F.lit(1)).alias("n")))
     reps = t.join(firsts.select("form", "side", F.col("class").alias("key")), ["form", "side", "key"]).dropDuplicates(["form", "side"])
-    sets = cut(reps.select("key", "side", "form", word_shingles(F.col("norm")).alias("items")))
+    sets = cut(reps.select("key", "side", "form", F.transform(word_shingles(F.col("norm")), lambda x: F.xxhash64(x)).alias("items")))
     a, b = (firsts.filter(F.col("side") == s).select("form", F.col("class").alias(s)) for s in ("train", "heldout"))
     same = a.join(b, "form").select("train", "heldout", F.lit(1.0).alias("score"), F.lit(True).alias("equal"))
     pairs = similar_pairs(sets, near, sides=True)
