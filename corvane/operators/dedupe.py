@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -182,22 +183,94 @@ def text_signatures(rows: DataFrame, seeds: int = SEEDS) -> DataFrame:
     return join_per_key(marked.select("key", "hash"), signed, "hash", marked.count(), "copies").select("key", "representative", "signature")
 
 
+def sign(batches: Iterator[pa.RecordBatch], seeds: int = SEEDS, most: int = 100_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches whose last column holds shingles, in pieces, each with its ``(row, seed)`` minhashes as numbers.
+
+    A piece has ``most`` shingles or one text. A task hashes a shingle once while it holds it: with more than three times ``most`` it begins anew.
+    """
+    sha = hashlib.sha256
+    starts = [f"{i}:".encode() for i in range(seeds)]
+    known: dict[str, int] = {}
+    h = np.empty((0, seeds), np.uint32)
+    for whole in batches:
+        ends = np.cumsum(pc.list_value_length(whole.column(whole.num_columns - 1)).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < whole.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            b = whole.slice(at, to - at)
+            items = b.column(b.num_columns - 1)
+            words = items.flatten().dictionary_encode()
+            distinct = words.dictionary.to_pylist()
+            if len(known) > 3 * most:
+                known, h = {}, h[:0]
+            new = [g for g in distinct if g not in known]
+            fresh = np.empty((len(new), seeds), np.uint32)
+            for i, g in enumerate(x.encode() for x in new):
+                fresh[i] = np.frombuffer(b"".join([sha(p + g).digest() for p in starts]), ">u4")[::8]  # the first 32 bits of each
+            h = np.concatenate([h, fresh])
+            known.update(zip(new, range(len(known), len(h)), strict=True))
+            ids = np.array([known[g] for g in distinct], np.int64)[words.indices.to_numpy()]
+            owner = np.repeat(np.arange(b.num_rows), np.diff(ends[at:to], prepend=ends[at - 1] if at else 0))
+            least = np.full((b.num_rows, seeds), 0xFFFFFFFF, np.uint32)
+            for i in range(0, len(ids), most):  # so a text of any length takes bounded memory here
+                o = owner[i : i + most]
+                first = np.flatnonzero(np.diff(o, prepend=-1))
+                least[o[first]] = np.minimum(least[o[first]], np.minimum.reduceat(h[ids[i : i + most]], first, axis=0))
+            yield b, least
+            at = to
+
+
 def first_similar(rows: DataFrame, threshold: float) -> DataFrame:
     """``rows(key, body)`` to ``(key, first, kind)``: the least earlier key with an equal body or as many equal minhashes.
 
-    Losslessly: of two signatures that agree in ``threshold`` of 64 places, one of the first
-    ``64 - need + 1`` places agrees, so only those are joined. Equal bodies are collapsed first.
+    Losslessly: two signatures that agree in ``need`` of 64 places differ in at most ``64 - need``, so
+    of one band of places more than that, one agrees whole, and only bands are joined. Four bits of
+    each place go along, as four numbers with a bit a place, and rule out most other pairs; the rest
+    are computed on whole signatures. Equal bodies, then equal signatures, are collapsed first: a
+    key's least similar key is that of its signature's class. Null bodies are left out.
     """
-    bodies = cut(rows.groupBy("body").agg(F.min("key").alias("key")))
-    sig = cut(minhash(bodies.select("key", F.col("body").alias("text"))).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("seed", "value"))), lambda x: x["value"]).alias("sig")))
     need = math.ceil(threshold * SEEDS - 1e-9)
-    part = sig.select("key", F.posexplode(F.slice("sig", 1, SEEDS - need + 1)).alias("place", "value"))
-    a, b = (part.select("place", "value", F.col("key").alias(s)) for s in "ab")
-    found = a.join(b, ["place", "value"]).filter("a < b").select("a", "b").distinct()
-    found = found.join(sig.select(F.col("key").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("key").alias("b"), F.col("sig").alias("y")), "b")
-    same = F.aggregate(F.zip_with("x", "y", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, v: n + v)
-    near = found.filter(same >= need).groupBy(F.col("b").alias("key")).agg(F.min("a").alias("near"))
-    d = rows.join(bodies.withColumnRenamed("key", "head"), "body").join(near.withColumnRenamed("key", "head"), "head", "left")
+    edges = [i * SEEDS // (SEEDS - need + 1) for i in range(SEEDS - need + 2)]
+    kind = rows.schema["key"].dataType.simpleString()
+    marked = cut(rows.filter("body IS NOT NULL").select("key", "body", F.sha2("body", 256).alias("hash")))
+    bodies = cut(marked.groupBy("hash").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("copies"), F.any_value("body").alias("body")))
+
+    def planes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, v in sign(batches):
+            raw = v.tobytes()
+            size = 4 * SEEDS
+            name = pa.array([hashlib.sha256(raw[i : i + size]).digest() for i in range(0, len(raw), size)], pa.binary())
+            bits = np.stack([np.packbits((v >> k & 1).astype(np.uint8), axis=1, bitorder="little").view(np.int64)[:, 0] for k in range(32)], axis=1)
+            each = pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size + 1, 32), pa.int32()), pa.array(bits.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], name, each], ["hash", "head", "copies", "class", "planes"])
+
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
+            p = b.column(1).flatten().to_numpy().reshape(-1, 32)
+            for i, (x, y) in enumerate(zip(edges, edges[1:], strict=False)):
+                mask = np.uint64((1 << y) - (1 << x)).view(np.int64)
+                h = np.full(len(p), i + 1, np.uint64)
+                for k in range(32):
+                    h = (h ^ (p[:, k] & mask).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                    h ^= h >> np.uint64(29)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h.view(np.int64)), *(pa.array(p[:, k].copy()) for k in range(4))], ["head", "band", "p0", "p1", "p2", "p3"])
+
+    # hashing costs far more than the bytes tell, so the tasks are not left to adaptive coalescing
+    sets = bodies.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, "hash").select("hash", "head", "copies", token_shingles(F.col("body")).alias("items"))
+    signed = cut(sets.mapInArrow(planes, f"hash string, head {kind}, copies long, class binary, planes array<long>"))
+    classes = cut(signed.groupBy("class").agg(F.min("head").alias("least"), F.count(F.lit(1)).alias("n"), F.any_value("planes").alias("planes")))
+    part = classes.select("least", "planes").mapInArrow(bands, f"head {kind}, band long, p0 long, p1 long, p2 long, p3 long")
+    a, b = (part.select("band", *(F.col(c).alias(f"{c}_{s}") for c in part.columns if c != "band")) for s in "ab")
+    unlike = lambda x, y: F.bit_count(reduce(lambda p, q: p.bitwiseOR(q), (p.bitwiseXOR(q) for p, q in zip(x, y, strict=True))))
+    few = unlike(*([F.col(f"p{k}_{s}") for k in range(4)] for s in "ab")) <= SEEDS - need
+    found = a.join(b, "band").filter((F.col("head_a") < F.col("head_b")) & few).select("head_a", "head_b").distinct()
+    found = found.join(classes.select(F.col("least").alias("head_a"), F.col("planes").alias("x")), "head_a").join(classes.select(F.col("least").alias("head_b"), F.col("planes").alias("y")), "head_b")
+    near = found.filter(unlike(*([F.get(c, F.lit(k)) for k in range(32)] for c in "xy")) <= SEEDS - need).groupBy(F.col("head_b").alias("least")).agg(F.min("head_a").alias("earlier"))
+    of = classes.select("class", "n", "least").join(near, "least", "left").select("class", "n", F.coalesce("earlier", "least").alias("near"))
+    n = signed.count()
+    heads = join_per_key(signed.select("hash", "head", "copies", "class"), cut(of), "class", n, "n")
+    heads = cut(heads.select("hash", "head", "copies", F.when(F.col("near") < F.col("head"), F.col("near")).alias("near")))
+    d = join_per_key(marked.select("key", "hash"), heads, "hash", marked.count(), "copies")
     exact = F.when(F.col("head") < F.col("key"), F.col("head"))
     first = F.least(exact, "near")  # null arguments are skipped
     return d.select("key", F.coalesce(first, "key").alias("first"), F.when(first.isNull(), "representative").when(F.coalesce("near", F.col("key")) < F.coalesce(exact, F.col("key")), "minhash").otherwise("exact").alias("kind"))
@@ -296,8 +369,9 @@ def _log_texts(s: SparkSession, d: str) -> DataFrame:
 def _chat_bodies(s: SparkSession, d: str) -> DataFrame:
     from corvane.operators.chat import message_text
 
-    latest = table(s, d, "chat_examples").groupBy("example_id").agg(F.max_by("messages", "ingested_at").alias("messages"), F.max_by("split", "ingested_at").alias("split"))
-    return latest.select(F.col("example_id").alias("key"), F.lower(message_text(F.element_at("messages", -1))).alias("body"), "split")
+    body = F.lower(message_text(F.try_element_at("messages", F.lit(-1))))  # before the shuffle, so that messages are not in it
+    rows = table(s, d, "chat_examples").select("example_id", body.alias("body"), "split", "ingested_at")
+    return rows.groupBy(F.col("example_id").alias("key")).agg(F.max_by("body", "ingested_at").alias("body"), F.max_by("split", "ingested_at").alias("split"))
 
 
 def _sided(s: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,10 @@
+import hashlib
 import json
 import random
+import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +112,60 @@ def test_first_similar(spark):
     assert got[2] == (1, "minhash") and got[3] == (1, "exact") and got[4][0] == 4
 
 
+def _shuffled_rows(spark):
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    store, none = sc.statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = store.stageList(None, False, False, none, spark.sparkContext._jvm.java.util.ArrayList())
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_first_similar_at_size(spark):
+    """Bodies that share most shingles of a place, and many without any: equal to brute force, and few rows a body are shuffled."""
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    base = [[r.choice(words) for _ in range(30)] for _ in range(150)]
+    rows = {}
+    for _ in range(1200):
+        x = r.choice(base)[:]
+        for _ in range(r.choice([0, 1, 1, 3])):
+            x[r.randrange(len(x))] = r.choice(words)
+        rows[r.randrange(10**6)] = r.choice(["all of them begin so " + " ".join(x)] * 4 + ["привет " + "да" * r.randrange(200), None])
+    d = pairs(spark, list(rows.items()), "key long, body string").localCheckpoint()
+    done = _shuffled_rows(spark)
+    got = {x.key: (x.first, x.kind) for x in dedupe.first_similar(d, 0.8).collect()}
+    now = _shuffled_rows(spark)
+    assert sum(v for k, v in now.items() if k not in done) < 40 * len(rows)
+
+    sig = {}
+    for k, t in rows.items():
+        if t is not None:
+            w = re.findall("[a-z0-9]+", t.lower())
+            g = {" ".join(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) > 2 else set(w)
+            sig[k] = tuple(min((hashlib.sha256(f"{s}:{x}".encode()).hexdigest()[:8] for x in g), default="ffffffff") for s in range(64))
+    want, heads = {}, {}
+    for k in sorted(sig):
+        heads.setdefault(rows[k], k)
+    for k in sig:
+        head = heads[rows[k]]
+        near = min((x for x in heads.values() if x < head and sum(p == q for p, q in zip(sig[x], sig[head], strict=True)) >= 52), default=None)
+        exact = head if head < k else None
+        first = min((x for x in (exact, near) if x is not None), default=None)
+        want[k] = (k, "representative") if first is None else (first, "minhash" if first != exact else "exact")
+    assert got == want and {x[1] for x in want.values()} == {"representative", "minhash", "exact"}
+
+
+def test_sign_in_pieces():
+    """Pieces and forgotten shingles leave the values alone."""
+    texts = [["a b c", "b c d"], [], ["x"], ["a b c", "y z w", "q r s", "t u v", "b c d"], ["a b c"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts, pa.list_(pa.string()))], ["key", "items"])
+    want = [[min((int(hashlib.sha256(f"{s}:{g}".encode()).hexdigest()[:8], 16) for g in t), default=0xFFFFFFFF) for s in range(5)] for t in texts]
+    for most in (1, 2, 3, 100):
+        got = list(dedupe.sign(iter([batch, batch.slice(1, 3)]), 5, most))
+        assert [x for b, _ in got for x in b.column(0).to_pylist()] == [0, 1, 2, 3, 4, 1, 2, 3]
+        assert np.concatenate([v for _, v in got]).tolist() == want + want[1:4]
+
+
 def test_text_signatures(spark, tmp_path):
     from corvane.queries import queries
 
